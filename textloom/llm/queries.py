@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, near_dedup, substring
+from . import bpe, common, media, near_dedup, packing, substring
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(common.documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(common.documents(spark, sf_dir))
 
@@ -24,7 +32,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_dedup, op8_media, op9_substring_dedup)}
+    return {f.__name__: f for f in (op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
