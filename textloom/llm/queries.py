@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, media, near_dedup, packing, substring
+from . import bpe, common, html_main, media, near_dedup, neighbours, packing, substring
+
+
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +36,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", substring.removed_words().alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_neighbours, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
