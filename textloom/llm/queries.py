@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_main, media, near_dedup, neighbours, packing, substring
+from . import bpe, common, html_main, lm, media, near_dedup, neighbours, packing, substring
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(common.documents(spark, sf_dir), common.crc_bucket("doc_id", 5) == 1)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
+    return {f.__name__: f for f in (op1_neighbours, op3_lm, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
