@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_main, lm, media, near_dedup, neighbours, packing, substring
+from . import bpe, common, html_main, lm, media, near_dedup, neighbours, packing, quality, substring
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.crc_bucket("doc_id", 4) == 2
+    scored = quality.score_documents(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(common.documents(spark, sf_dir), common.crc_bucket("doc_id", 5) == 1)
 
@@ -45,7 +51,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op3_lm, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
+    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_lm, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
