@@ -9,7 +9,7 @@ smaller doc_id are duplicate spans.
 Shape on a cluster: each map task first settles the windows that repeat inside its own chunk of documents (all but those
 of the chunk's smallest doc_id are known duplicates), so a block receives at most one document per chunk for any window:
 no window, however common, makes a hot block. Windows travel packed (about 10 bytes each) to the block of their hash;
-verdicts return as positions and meet the texts in one shuffle by row key.
+verdicts return as packed positions and meet the texts in one shuffle.
 
 Null texts have no words. Rows with a null doc_id have no smaller document: they are returned whole and never serve as
 reference. Repeated rows (same id and text) get the same answer. Hashes are 64 bits wide.
@@ -30,8 +30,8 @@ from . import common
 WINDOW = 13
 #: Windows a map task settles at a time.
 CHUNK_WINDOWS = 2_000_000
-_PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("rows", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
-_PACKED_SQL = "part int, known boolean, hashes binary, rows binary, ids binary, counts binary, places binary"
+_PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("salts", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_PACKED_SQL = "part int, known boolean, hashes binary, salts binary, ids binary, counts binary, places binary"
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -44,8 +44,8 @@ def _widen(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack_map(parts: int, window: int, chunk: int):
-    def settle(hashes, docs, places, rows, ids) -> Iterator[pa.RecordBatch]:
-        """hashes and places of windows, docs: index into rows and ids, which are sorted by id."""
+    def settle(hashes, docs, places, salts, ids) -> Iterator[pa.RecordBatch]:
+        """hashes and places of windows, docs: index into salts and ids, which are sorted by id."""
         order = np.argsort(hashes, kind="stable")
         sorted_hashes, sorted_ids = hashes[order], ids[docs[order]]
         new = np.r_[True, sorted_hashes[1:] != sorted_hashes[:-1]]
@@ -53,7 +53,7 @@ def _pack_map(parts: int, window: int, chunk: int):
         known = np.empty(len(hashes), bool)
         known[order] = sorted_ids > first
         del order, sorted_hashes, sorted_ids, new, first
-        part = np.where(known, (rows[docs].view(np.uint64) % np.uint64(parts)).astype(np.int32), (hashes >> np.uint64(56)).astype(np.int32) * parts >> 8) if parts <= 256 else (hashes >> np.uint64(40)).astype(np.int64) * parts >> 24
+        part = np.where(known, (ids[docs] % parts).astype(np.int32), (hashes >> np.uint64(56)).astype(np.int32) * parts >> 8) if parts <= 256 else (hashes >> np.uint64(40)).astype(np.int64) * parts >> 24
         key = part * 2 + known
         by = np.argsort(key, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0, True])
@@ -64,7 +64,7 @@ def _pack_map(parts: int, window: int, chunk: int):
             heads = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
             k = int(key[own[0]])
             packed = b"" if k & 1 else hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if parts <= 256 else 8].tobytes()
-            for column, value in zip(out, (k >> 1, bool(k & 1), packed, rows[held[heads]].tobytes(), ids[held[heads]].tobytes(), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[own])), strict=True):
+            for column, value in zip(out, (k >> 1, bool(k & 1), packed, salts[held[heads]].tobytes(), ids[held[heads]].tobytes(), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[own])), strict=True):
                 column.append(value)
         for at in range(0, len(out[0]), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 64], f.type) for c, f in zip(out, _PACKED, strict=True)], schema=_PACKED)
@@ -73,7 +73,7 @@ def _pack_map(parts: int, window: int, chunk: int):
         held, total = [], 0
 
         def flush():
-            hashes, counts, places, rows, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes, counts, places, salts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             # documents in order of id, so that a stable sort by hash leaves the smallest id first
             rank = np.argsort(ids, kind="stable")
             starts = np.cumsum(counts) - counts
@@ -81,10 +81,10 @@ def _pack_map(parts: int, window: int, chunk: int):
             take = np.repeat(starts[rank] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             docs = np.repeat(np.arange(len(rank)), n)
             held.clear()
-            yield from settle(hashes[take], docs, places[take], rows[rank], ids[rank])
+            yield from settle(hashes[take], docs, places[take], salts[rank], ids[rank])
 
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
             for lo, hi, data, offsets in common.slices(batch.column(2)):
                 starts, ends, firsts = common.word_spans(data, offsets)
                 grams = common.ngram_hashes(common.word_hashes(data, starts, ends), window)
@@ -93,7 +93,7 @@ def _pack_map(parts: int, window: int, chunk: int):
                     continue
                 counts = np.bincount(docs, minlength=hi - lo)
                 full = counts > 0
-                held.append((grams[at], counts[full], (at - firsts[:-1][docs]).astype(np.uint32), rows[lo:hi][full], ids[lo:hi][full]))
+                held.append((grams[at], counts[full], (at - firsts[:-1][docs]).astype(np.uint32), salts[lo:hi][full], ids[lo:hi][full]))
                 total += len(at)
                 if total >= chunk:
                     yield from flush()
@@ -104,93 +104,145 @@ def _pack_map(parts: int, window: int, chunk: int):
     return run
 
 
-def _match_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of a block: places of those that start in a smaller document, by row key."""
-    hashes, counts, rows, ids, places, known = [], [], [], [], [], []
-    for batch in batches:
-        for r in batch.to_pylist():
-            row, doc = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
-            count = _widen(r["counts"], len(row)).astype(np.int64)
-            place = _widen(r["places"], int(count.sum()))
-            if r["known"]:
-                known.append((row, count, place))
-                continue
-            width = len(r["hashes"]) // len(place)
-            wide = np.zeros((len(place), 8), np.uint8)
-            wide[:, :width] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, width)
-            if width < 8:
-                wide[:, 7] = r["part"] & 0xFF
-            hashes.append(wide.view("<u8").ravel())
-            rows.append(row), ids.append(doc), counts.append(count), places.append(place)
-    found = known
-    if hashes:
-        h, row, doc, count, place = (np.concatenate(x) for x in (hashes, rows, ids, counts, places))
-        of = np.repeat(np.arange(len(doc)), count)
-        order = np.lexsort((doc[of], h))
-        h, of, place = h[order], of[order], place[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        later = doc[of] > doc[of[new]][np.cumsum(new) - 1]
-        if later.any():
-            of, place = of[later], place[later]
-            back = np.argsort(row[of], kind="stable")
-            keys, place = row[of][back], place[back]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            found.append((keys[heads], np.diff(np.r_[heads, len(keys)]), place))
-    for row, count, place in found:
-        ends = np.cumsum(count)
-        blobs = [place[e - c : e].astype("<u4").tobytes() for e, c in zip(ends, count, strict=True)]
-        for at in range(0, len(row), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(row[at : at + 4096]), pa.array(blobs[at : at + 4096], pa.binary())], names=["row_key", "places"])
-
-
-def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK_WINDOWS) -> DataFrame:
-    """(row_key, places): starts of the windows to remove, as packed little-endian u32; several rows a key."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+def _match_block(dests: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of a block: places of those that start in a smaller document, packed by where the texts go."""
+        hashes, windows, known = [], [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                doc, salt = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["salts"], np.uint32)
+                count = _widen(r["counts"], len(doc)).astype(np.int64)
+                own = (np.repeat(doc, count), np.repeat(salt, count), _widen(r["places"], int(count.sum())))
+                if r["known"]:
+                    known.append(own)
+                    continue
+                width = len(r["hashes"]) // len(own[0])
+                wide = np.zeros((len(own[0]), 8), np.uint8)
+                wide[:, :width] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, width)
+                if width < 8:
+                    wide[:, 7] = r["part"] & 0xFF
+                hashes.append(wide.view("<u8").ravel())
+                windows.append(own)
+        found = known
+        if hashes:
+            h = np.concatenate(hashes)
+            doc, salt, place = (np.concatenate(x) for x in zip(*windows, strict=True))
+            hashes.clear(), windows.clear()
+            order = np.lexsort((doc, h))
+            new = np.r_[True, h[order][1:] != h[order][:-1]]
+            first = doc[order][new][np.cumsum(new) - 1]
+            later = order[doc[order] > first]
+            found.append((doc[later], salt[later], place[later]))
+        if not found:
+            return
+        doc, salt, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        dest = (doc + salt) % dests
+        order = np.lexsort((salt, doc, dest))
+        doc, salt, place, dest = doc[order], salt[order], place[order], dest[order]
+        edges = np.flatnonzero(np.r_[True, np.diff(dest) != 0, True]) if len(dest) else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            heads = lo + np.flatnonzero(np.r_[True, (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (salt[lo + 1 : hi] != salt[lo : hi - 1])])
+            blobs = (doc[heads].tobytes(), salt[heads].tobytes(), _narrow(np.diff(np.r_[heads, hi])), _narrow(place[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(dest[lo])]), *(pa.array([b], pa.binary()) for b in blobs)], names=["dest", "ids", "salts", "counts", "places"])
+
+    return run
+
+
+_VERDICTS = "dest long, ids binary, salts binary, counts binary, places binary"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFFFF).alias("salt"), F.col(text_col).alias("text"))
+
+
+def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK_WINDOWS, dests: int = 1) -> DataFrame:
+    """Starts of the windows to remove, by (id, salt of the text), packed by dest = (id + salt) mod dests; several rows a dest."""
     parts = common.parts_for(docs)
-    packed = keyed.mapInArrow(_pack_map(parts, window, chunk), _PACKED_SQL)
-    return packed.repartition(parts, "part").mapInArrow(_match_block, "row_key long, places binary")
+    packed = _keyed(docs, id_col, text_col).filter("id is not null and text is not null").mapInArrow(_pack_map(parts, window, chunk), _PACKED_SQL)
+    return packed.repartition(parts, "part").mapInArrow(_match_block(dests), _VERDICTS)
 
 
-def _cut(window: int):
+def _cut(window: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key, verdicts before texts. The verdicts of the present key carry over from batch to batch."""
-        key, marks = None, []
+        """Sorted by dest, a dest's verdicts before its texts; the verdicts of one dest are held at a time. whole: uncut texts stay as they are, and the
+        struct ``rest`` goes along."""
+        dest, marks = None, {}
+        names = ["doc_id", "n_words", "span_starts", "span_ends", "kept_text"]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.large_string())
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            places, texts = batch.column(2).cast(pa.binary()), batch.column(4).cast(pa.large_binary())
-            for i, (k, kind, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if k != key:
-                    key, marks = k, []
-                if kind == 0:
-                    marks.append(places[i].as_py())
+            taken: list[int] = []
+            dests, kind = batch.column("dest").to_pylist(), batch.column("kind").to_pylist()
+            blobs = [batch.column(c) for c in ("ids", "salts", "counts", "places")]
+            docs, salts, texts = batch.column("id").to_pylist(), batch.column("salt").to_pylist(), batch.column("text").cast(pa.large_binary())
+            for i, (d, k) in enumerate(zip(dests, kind, strict=True)):
+                if d != dest:
+                    dest, marks = d, {}
+                if k == 0:
+                    ids, salt, count, places = (b[i].as_py() for b in blobs)
+                    own, salt = np.frombuffer(ids, np.int64), np.frombuffer(salt, np.uint32)
+                    count = _widen(count, len(own)).astype(np.int64)
+                    places = _widen(places, int(count.sum()))
+                    ends = np.cumsum(count)
+                    for key, a, b in zip(zip(own.tolist(), salt.tolist(), strict=True), (ends - count).tolist(), ends.tolist(), strict=True):
+                        marks.setdefault(key, []).append(places[a:b])
                     continue
-                words = (texts[i].as_py() or b"").split()
-                edge = np.zeros(len(words) + 1, np.int32)
-                for m in marks:
-                    at = np.frombuffer(m, "<u4")
-                    edge[at] += 1  # places are distinct within a verdict
+                words, spans = (texts[i].as_py() or b"").split(), []
+                if found := marks.get((docs[i], salts[i])):
+                    at = np.unique(np.concatenate(found))
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    edge[at] += 1
                     edge[at + window] -= 1
-                if marks:
                     gone = np.cumsum(edge[:-1]) > 0
-                    turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                    kept = [words[j] for j in np.flatnonzero(~gone)]
-                    spans = turns.tolist()
+                    spans = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
+                if spans or not whole:
+                    edges = [0, *spans, len(words)]
+                    kept = b" ".join([w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]).decode()
                 else:
-                    kept, spans = words, []
-                for column, value in zip(out, (doc, len(words), spans[::2], spans[1::2], b" ".join(kept).decode()), strict=True):
+                    kept = batch.column("text")[i].as_py()
+                taken.append(i)
+                for column, value in zip(out, (docs[i], len(words), spans[::2], spans[1::2], kept), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.large_string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)] + [], names=["doc_id", "n_words", "span_starts", "span_ends", "kept_text"])
+            if taken:
+                more = [batch.column("rest").take(pa.array(taken))] if whole else []
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)] + more, names=names + ["rest"] * whole)
 
     return run
 
 
+_RESULT = "doc_id long, n_words long, span_starts array<int>, span_ends array<int>, kept_text string"
+_BLOBS = ("ids", "salts", "counts", "places")
+
+
+def _together(docs: DataFrame, id_col: str, text_col: str, window: int, rest: list[str] | None) -> DataFrame:
+    """Verdicts and texts, dealt and sorted so that each dest's verdicts come first."""
+    dests = common.parts_for(docs)
+    held = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFFFF).alias("salt"), F.col(text_col).alias("text"), held)
+    none = lambda c: F.lit(None).cast(texts.schema[c].dataType).alias(c)
+    marks = duplicate_windows(docs, id_col, text_col, window, dests=dests).select("dest", F.lit(0).alias("kind"), *_BLOBS, none("id"), none("salt"), none("text"), none("rest"))
+    dest = F.pmod(F.coalesce("id", F.lit(0)) + F.col("salt"), F.lit(dests))
+    dealt = texts.select(dest.alias("dest"), F.lit(1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in _BLOBS), "id", "salt", "text", "rest")
+    return marks.unionByName(dealt).repartition(dests, "dest").sortWithinPartitions("dest", "kind")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, duplicate spans (word indexes, end exclusive) and the kept words joined by a space."""
-    marks = duplicate_windows(docs, id_col, text_col, window).select("row_key", F.lit(0).alias("kind"), "places", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("places"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    together = marks.unionByName(texts).repartition(common.parts_for(docs, 16 << 20), "row_key").sortWithinPartitions("row_key", "kind")
-    return together.mapInArrow(_cut(window), "doc_id long, n_words long, span_starts array<int>, span_ends array<int>, kept_text string")
+    return _together(docs, id_col, text_col, window, None).mapInArrow(_cut(window, False), _RESULT)
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with duplicate spans cut from the text and count_col, if there, set anew. Uncut texts stay as they are; a row whose text
+    loses every word goes."""
+    rest = [c for c in docs.columns if c != text_col]
+    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")).schema["rest"].dataType.simpleString()
+    cut = _together(docs, id_col, text_col, window, rest).mapInArrow(_cut(window, True), f"{_RESULT}, rest {kind}")
+    touched = F.size("span_starts") > 0
+    left = cut.filter(~touched | (F.col("kept_text") != ""))
+    own = {c: F.col("rest").getField(c) for c in rest} | {text_col: F.col("kept_text")}
+    if count_col in own:
+        own[count_col] = F.when(touched, F.length("kept_text")).otherwise(own[count_col]).cast(docs.schema[count_col].dataType)
+    return left.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def removed_words():
