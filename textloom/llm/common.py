@@ -112,12 +112,17 @@ def starts_of(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return firsts[:-1][docs] + within, docs
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where none is set (tests), a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return shared or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder; survives lost executors."""
+    """df, computed once and kept in the shared checkpoint folder; survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

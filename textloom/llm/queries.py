@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_main, lm, media, near_dedup, neighbours, packing, quality, substring
+from . import bpe, common, html_main, lm, media, near_dedup, neighbours, packing, quality, secrets, substring
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(common.documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.documents(spark, sf_dir))
 
@@ -50,9 +54,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+_CONTRACT = (op1_neighbours, op2_quality, op3_lm, op4_near_dedup, op5_secrets, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_quality, op3_lm, op4_near_dedup, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in _CONTRACT} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    return {"op5_secrets": secrets.oracle_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
