@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: URLs, scope patterns, image headers."""

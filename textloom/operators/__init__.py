@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators over DataFrames: links, frontier, trees, images, chunks, manifests, conversion."""

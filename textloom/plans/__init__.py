@@ -1 +1 @@
-"""See the README for what lives here."""
+"""The named queries, their DuckDB SQL, and the session."""

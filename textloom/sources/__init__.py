@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers and writers: URL lists, crawl state, manifests, site configs, Markdown folders, node lists."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Incremental runs over arriving pages."""
