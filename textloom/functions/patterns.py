@@ -129,9 +129,9 @@ def glob_regex(glob: str) -> str:
             last = k == len(segments) - 1
             if s == "**":
                 if last:
-                    out += "(?:(?!\\.)[^/]+(?:/(?!\\.)[^/]+)*/?)?" if k == 0 else "(?!\\.)[^/]*(?:/(?!\\.)[^/]+)*/?"
+                    out += "(?!\\.)[^/]*(?:/(?!\\.)[^/]*)*"
                 else:
-                    out += "(?:(?!\\.)[^/]+/)*"
+                    out += "(?:(?!\\.)[^/]*/)*"
             else:
                 out += _segment(s) + ("" if last else "/")
         options.append(out)
