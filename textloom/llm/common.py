@@ -138,6 +138,12 @@ def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     return max(floor, min(-(-size // bytes_each), 200_000)) if size < 1 << 60 else floor
 
 
+def pieces_for(df: DataFrame, bytes_each: int) -> int:
+    """Like parts_for, but from the data alone: small tables get one."""
+    size = size_in_bytes(df)
+    return max(1, min(-(-size // bytes_each), 200_000)) if size < 1 << 60 else parts_for(df)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,9 +10,9 @@
    boilerplate by name.
 3. What is left of the page is joined by newlines.
 
-Neighbours come from a range-ordered window over (host, path), salted hosts included: pages are sorted over the whole
-cluster, and only a fingerprint of each boundary line travels to the neighbour, so a host with a third of all pages does not
-meet in one task. Null html gives an empty text, a null or odd URL has the empty host; repeated rows difference against each other but keep
+Pages are range-partitioned and sorted by (host, path) over the whole cluster, about a megabyte to a partition whatever the cluster, so a
+host with a third of all pages spreads over many tasks. A page's neighbours are the pages before and after it; at a partition's border it has
+one of the two. Null html gives an empty text, a null or odd URL has the empty host; repeated rows difference against each other but keep
 their article; extra columns are ignored.
 """
 
@@ -206,5 +206,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1))
     path = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    ordered = keyed.repartitionByRange(common.parts_for(pages, 4 << 20), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    ordered = keyed.repartitionByRange(common.pieces_for(pages, 1 << 20), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     return ordered.mapInArrow(_to_lines, _LINES).mapInArrow(_difference, "page_id long, url string, text string, n_chars long, n_shared long, nearest_url string")

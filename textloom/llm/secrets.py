@@ -6,7 +6,7 @@ path (the source), and the two neighbouring words before it together with the na
 findings and compiled to CASE expressions, so the scan is one pass of DataFrame functions: no Python on executors, no shuffle.
 
 ``labelled_findings`` makes a fixed seeded set of true and false findings: key formats of several kinds, and the usual false positives (long
-words in several languages and cases, card and phone numbers, dates, checksums, placeholders, paths).
+words in several languages and cases, card and phone numbers, dates, checksums, placeholders, paths, repeated characters, long blobs).
 
 Null and empty texts have no candidates. A null source counts as an empty path, a null doc_id is returned as null. Equal candidates of one text are
 separate findings; repeated rows are scanned each. Extra columns are ignored by ``findings`` and kept by ``redact``.
@@ -82,7 +82,7 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, str, str
     path = lambda: r.choice(("", "src", "web", "crawl", f"src{r.randint(0, 99)}", f"app/{word(1, 2)}"))
     out = []
     while len(out) < n:
-        kind = r.randrange(16)
+        kind = r.randrange(17)
         if kind < 3:
             own = ("AKIA" + draw(upper, 16), r.choice((plain, near))(), path(), 1)
         elif kind == 3:
@@ -106,6 +106,9 @@ def labelled_findings(n: int = 3000, seed: int = 17) -> list[tuple[str, str, str
             own = (f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}-{draw('0123456789', 6)}", plain(), path(), 0)
         elif kind == 14:
             own = ("/".join(word(1, 3) for _ in range(6)), plain(), path(), 0)
+        elif kind == 15:
+            long = r.choice((r.choice(mixed) * r.randint(16, 600), draw(mixed, r.choice((1, 2, 3))) * r.randint(16, 200), draw(mixed + "+/", r.randint(300, 900))))
+            own = (long, r.choice((plain, near))(), path(), 0)
         else:
             fake = r.choice((draw("x", 20), draw("X", 24), "password=" + draw("x*"[0], 12), "token=" + word(6, 8)[:16], draw(mixed, 32), "AKIA" + draw(upper, 16)))
             own = (fake, r.choice((plain, near))(), r.choice(("tests/unit", "docs/example", "sample", "demo/fixtures")), 0)
