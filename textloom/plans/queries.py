@@ -189,10 +189,10 @@ def _last(mark: str) -> str:
     return f"(CASE WHEN strpos(reverse(seg), {back}) = 0 THEN -1 ELSE length(seg) - strpos(reverse(seg), {back}) - {len(mark) - 1} END)"
 
 
-def _char_cte(size: int, overlap: int, stop: str) -> str:
+def _char_cte(size: int, overlap: int, stop: str, source: str = "SELECT doc_id, text FROM documents") -> str:
     point = f"CASE WHEN {_last('. ')} > length(seg) * 0.5 THEN {_last('. ')} + 2 WHEN {_last(chr(10) * 2)} > length(seg) * 0.3 THEN {_last(chr(10) * 2)} + 2 WHEN {_last(chr(10))} > length(seg) * 0.3 THEN {_last(chr(10))} + 1 WHEN {_last(' ')} > length(seg) * 0.3 THEN {_last(' ')} + 1 ELSE length(seg) END"
     step = lambda start: f"(SELECT CASE WHEN {start} + {size} >= length(text) THEN length(text) WHEN bp > {size} * 0.3 THEN {start} + bp ELSE {start} + {size} END FROM (SELECT {point} AS bp FROM (SELECT substr(text, cast({start} + 1 AS bigint), {size}) AS seg)))"
-    return f"""RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE length(text) > {size}), c(doc_id, text, k, a, b) AS (SELECT doc_id, text, 0, 0::BIGINT, {step('0')}::BIGINT FROM d
+    return f"""RECURSIVE d AS (SELECT * FROM ({source}) WHERE length(text) > {size}), c(doc_id, text, k, a, b) AS (SELECT doc_id, text, 0, 0::BIGINT, {step('0')}::BIGINT FROM d
 UNION ALL SELECT doc_id, text, k + 1, s, {step('s')}::BIGINT FROM (SELECT *, greatest(b - {overlap}, a + 1) AS s FROM c WHERE {stop}) WHERE s < length(text))"""
 
 
@@ -243,7 +243,25 @@ def _conversations_markdown(spark, sf_dir):
     return held.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
 
 
-@query()
+_MARKDOWN = "m AS (SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id)"
+_BLANKS = "' ' || chr(10) || chr(9) || chr(13)"
+_FOLD = rf"""RECURSIVE {_MARKDOWN}, l AS (SELECT conv_id, unnest(range(len(string_split(markdown, chr(10))))) AS k, unnest(string_split(markdown, chr(10))) AS line FROM m WHERE length(markdown) > 600),
+n AS (SELECT *, regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 2) AS heading, length(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 1)) AS level, sum(CASE WHEN regexp_matches(line, '^(#{{1,6}})\s+(.+)$') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS section, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY k) - length(line) - 1 AS pos FROM l),
+s AS (SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY section) AS k, max(heading) AS heading, max(level) AS level, string_agg(line || chr(10), '' ORDER BY n.k) AS body, min(pos)::BIGINT AS start FROM n GROUP BY conv_id, section),
+f(conv_id, k, cur, st, stack, e1, e1_at, e2, e2_at) AS (SELECT DISTINCT conv_id, 0::BIGINT, '', 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM s
+UNION ALL SELECT conv_id, k, CASE WHEN length(joined) > 900 THEN '' ELSE joined END, CASE WHEN length(joined) > 900 THEN start + length(body) ELSE joined_at END, stack, CASE WHEN over THEN cur END, CASE WHEN over THEN st END, CASE WHEN length(joined) > 900 THEN joined END, CASE WHEN length(joined) > 900 THEN joined_at END
+FROM (SELECT *, CASE WHEN over THEN again || body ELSE cur || body END AS joined, CASE WHEN over THEN start - length(again) ELSE st END AS joined_at
+FROM (SELECT s.conv_id, s.k, s.body, s.start, f.cur, f.st, CASE WHEN s.heading = '' THEN f.stack ELSE list_append(f.stack[1:greatest(s.level - 1, 0)], s.heading) END AS stack, f.cur <> '' AND length(f.cur) + length(s.body) > 600 AS over,
+CASE WHEN length(f.cur) <= 80 THEN f.cur WHEN strpos(right(f.cur, 80), chr(10)) > 0 THEN substr(right(f.cur, 80), strpos(right(f.cur, 80), chr(10)) + 1) ELSE right(f.cur, 80) END AS again FROM f JOIN s ON s.conv_id = f.conv_id AND s.k = f.k + 1)))"""
+_HEADED = f"""WITH {_FOLD}, {_char_cte(600, 80, 'b < length(text)', "SELECT conv_id || ':' || k AS doc_id, e2 AS text FROM f WHERE e2 IS NOT NULL").removeprefix('RECURSIVE ')},
+r AS (SELECT conv_id, k, 0 AS kind, 0 AS piece, e1_at AS a, e1_at + length(e1) AS b, trim(e1, {_BLANKS}) AS text, stack FROM f WHERE e1 IS NOT NULL
+UNION ALL SELECT f.conv_id, f.k, 1, c.k, f.e2_at + c.a, f.e2_at + c.b, trim(substr(c.text, c.a + 1, c.b - c.a), {_BLANKS}), f.stack FROM f JOIN c ON c.doc_id = f.conv_id || ':' || f.k WHERE trim(substr(c.text, c.a + 1, c.b - c.a), {_BLANKS}) <> ''
+UNION ALL SELECT conv_id, k, 2, 0, st, st + length(cur), trim(cur, {_BLANKS}), stack FROM f WHERE trim(cur, {_BLANKS}) <> '' AND k = (SELECT max(s.k) FROM s WHERE s.conv_id = f.conv_id))
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k, kind, piece) - 1)::INT AS chunk_index, a::INT AS start_pos, b::INT AS end_pos, text, array_to_string(stack, ' > ') AS heading_context FROM r
+UNION ALL SELECT conv_id, 0, 0, length(markdown)::INT, markdown, 'Conversation ' || conv_id FROM m WHERE length(markdown) <= 600"""
+
+
+@query(_HEADED)
 def chunk_heading(spark, sf_dir):
     return chunking.chunk(_conversations_markdown(spark, sf_dir), "conv_id", "markdown", chunking.ChunkConfig(600, 80))
 
