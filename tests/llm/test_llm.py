@@ -314,17 +314,10 @@ def test_substrings_match_brute_force(spark):
     for i in range(60):
         a = r.randint(0, 45)
         rows.append((i * 7 % 61 + 20, " ".join([f"u{r.randint(0, 9)}" for _ in range(r.randint(0, 30))] + passage[a : a + r.randint(5, 40)] + ["end"] * r.randint(0, 20))))
-    for chunk in (50, 2_000_000):
-        marks = substring.dedup_substrings(_frame(spark, rows)) if chunk > 50 else None
-        if marks is None:
-            saved, substring.CHUNK_WINDOWS = substring.CHUNK_WINDOWS, chunk
-            substring.duplicate_windows.__defaults__ = ("doc_id", "text", 13, chunk, 1)
-            marks = substring.dedup_substrings(_frame(spark, rows))
+    for chunk in (50, substring.CHUNK_WINDOWS):
+        marks = substring.dedup_substrings(_frame(spark, rows), chunk=chunk)
         got = sorted((tuple(x) for x in marks.select("doc_id", "n_words", substring.removed_words(), F.sha2(F.col("kept_text").cast("binary"), 256)).collect()), key=_key)
         assert got == sorted(substring.brute_force(rows), key=_key)
-        if chunk == 50:
-            substring.CHUNK_WINDOWS = saved
-            substring.duplicate_windows.__defaults__ = ("doc_id", "text", 13, saved, 1)
     assert substring.dedup_substrings(_frame(spark, rows).limit(0)).count() == 0
 
 
@@ -341,7 +334,7 @@ def test_cut_documents_keeps_rows_and_columns(spark):
 
 
 def test_html_main_text(spark, tmp_path):
-    page = '<!doctype html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><a href="/">n</a></nav><!-- ad --><div id="cookie-notice">We use</div><div class="ad">Buy</div><article><h1>A &amp; B&#33;</h1><p><b>x<br>y\n\n <i>z</i><p>next&nbsp;one</p><form>f</form><div class="comments"><p>bad</p></div><aside>s</aside></article><footer>&copy;</footer>'
+    page = '<!doctype html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><a href="/">n</a></nav><!-- ad --><div id="cookie-notice">We use</div><div class="ad">Buy</div><article><header class="entry-header"><h1>A &amp; B&#33;</h1></header><span class="ad"><p>buy</p></span><p><b>x<br>y\n\n <i>z</i><p>next&nbsp;one</p><form>f</form><div class="comments"><p>bad</p></div><aside>s</aside></article><footer>&copy;</footer>'
     bare = lambda t: f"<body><div>Menu</div><p>{t}</p><div>Imprint</div></body>"
     rows = [(1, "http://e.com/a", page), (2, "http://e.com/b/1", bare("own one")), (3, "http://e.com/b/2?x", bare("own two")), (4, "http://f.com/", bare("alone")), (5, None, None), (6, "http://e.com/a", page), (7, "http://e.com/zz", "<p>" + "long " * 50_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")

@@ -34,7 +34,10 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe object svg math select option button canvas title".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|footer|header|legal|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|replies|reply|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+NAMES = "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus footer header legal menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted recommended related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+_FURNITURE_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(NAMES)})(?:$|[\s_-])", re.I)
+#: Inside an article a header is the article's own, so that name alone says nothing there.
+_INNER_NAME = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(n for n in NAMES if n != 'header')})(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -83,17 +86,17 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             parts.append(" ")
         if name in BLOCK:
             close()
-            if name == "p":  # a paragraph ends at the next block; its open inline elements end with it
-                pass
-            while stack and stack[-1][0] not in BLOCK:
+            while stack and stack[-1][0] not in BLOCK and not stack[-1][2]:  # inline elements left open end with the line
                 stack.pop()
-            if stack and stack[-1][0] == "p" or stack and stack[-1][0] == name == "li":
+            if stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"):
                 stack.pop()
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         _, article, furniture = stack[-1] if stack else ("", False, False)
         named = " ".join(x for g in _NAMED.findall(m[3]) for x in g if x)
-        stack.append((name, article or name in ("article", "main"), furniture or name in FURNITURE and not (name == "header" and article and not named) or bool(named and name not in ("html", "body", "article", "main") and NAMES.search(named))))
+        own = name in FURNITURE and not (name == "header" and article)
+        called = bool(named) and name not in ("html", "body", "article", "main") and bool((_INNER_NAME if article else _FURNITURE_NAME).search(named))
+        stack.append((name, article or name in ("article", "main"), furniture or own or called))
     close()
     return out
 

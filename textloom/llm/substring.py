@@ -214,29 +214,29 @@ _RESULT = "doc_id long, n_words long, span_starts array<int>, span_ends array<in
 _BLOBS = ("ids", "salts", "counts", "places")
 
 
-def _together(docs: DataFrame, id_col: str, text_col: str, window: int, rest: list[str] | None) -> DataFrame:
+def _together(docs: DataFrame, id_col: str, text_col: str, window: int, chunk: int, rest: list[str] | None) -> DataFrame:
     """Verdicts and texts, dealt and sorted so that each dest's verdicts come first."""
     dests = common.parts_for(docs)
     held = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).cast("int").alias("rest")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFFFF).alias("salt"), F.col(text_col).alias("text"), held)
     none = lambda c: F.lit(None).cast(texts.schema[c].dataType).alias(c)
-    marks = duplicate_windows(docs, id_col, text_col, window, dests=dests).select("dest", F.lit(0).alias("kind"), *_BLOBS, none("id"), none("salt"), none("text"), none("rest"))
+    marks = duplicate_windows(docs, id_col, text_col, window, chunk, dests).select("dest", F.lit(0).alias("kind"), *_BLOBS, none("id"), none("salt"), none("text"), none("rest"))
     dest = F.pmod(F.coalesce("id", F.lit(0)) + F.col("salt"), F.lit(dests))
     dealt = texts.select(dest.alias("dest"), F.lit(1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in _BLOBS), "id", "salt", "text", "rest")
     return marks.unionByName(dealt).repartition(dests, "dest").sortWithinPartitions("dest", "kind")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, duplicate spans (word indexes, end exclusive) and the kept words joined by a space."""
-    return _together(docs, id_col, text_col, window, None).mapInArrow(_cut(window, False), _RESULT)
+    return _together(docs, id_col, text_col, window, chunk, None).mapInArrow(_cut(window, False), _RESULT)
 
 
-def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW, chunk: int = CHUNK_WINDOWS) -> DataFrame:
     """docs with duplicate spans cut from the text and count_col, if there, set anew. Uncut texts stay as they are; a row whose text
     loses every word goes."""
     rest = [c for c in docs.columns if c != text_col]
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")).schema["rest"].dataType.simpleString()
-    cut = _together(docs, id_col, text_col, window, rest).mapInArrow(_cut(window, True), f"{_RESULT}, rest {kind}")
+    cut = _together(docs, id_col, text_col, window, chunk, rest).mapInArrow(_cut(window, True), f"{_RESULT}, rest {kind}")
     touched = F.size("span_starts") > 0
     left = cut.filter(~touched | (F.col("kept_text") != ""))
     own = {c: F.col("rest").getField(c) for c in rest} | {text_col: F.col("kept_text")}
