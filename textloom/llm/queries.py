@@ -54,6 +54,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_OP4_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(text=f"translate(text, '{common.UPPER}', '{common.LOWER}')")}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {near_dedup.SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {near_dedup.SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {near_dedup.SHINGLE - 1}], ' ')) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS held FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * held >= {near_dedup.PERCENT} * (a.n + b.n - held)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(doc, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, c.seen FROM c JOIN e ON e.x = c.doc)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c.seen) AS component_id, w.doc_id = min(c.seen) AS kept FROM w JOIN c ON c.doc = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+_OP9_SQL = rf"""WITH w AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS ws FROM documents), g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {substring.WINDOW}),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + {substring.WINDOW - 1}], ' ')) AS first FROM g), r AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS k FROM m WHERE first < doc_id),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w), left_ AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.k) AS kept, count(*) AS n FROM k ANTI JOIN r ON r.doc_id = k.doc_id AND r.k = k.k GROUP BY k.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(left_.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_ ON left_.doc_id = w.doc_id"""
+
 _CONTRACT = (op1_neighbours, op2_quality, op3_lm, op4_near_dedup, op5_secrets, op6_bpe, op7_packing, op8_media, op9_substring_dedup, op10_html)
 
 
@@ -66,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op5_secrets": secrets.oracle_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_near_dedup": _OP4_SQL, "op5_secrets": secrets.oracle_sql(), "op9_substring_dedup": _OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
