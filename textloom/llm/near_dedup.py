@@ -8,8 +8,9 @@
 3. Within a bucket each node is paired with the bucket's centre only (a star), so candidates grow linearly. Stars are
    confirmed on the full sets and closed into components.
 4. What stars cannot see: two nodes of a bucket that the centre leaves apart. Only buckets that still hold more than one
-   component are looked at again; there, nodes of different components are compared by size and by a 256-bit sketch (one bit
-   per bin) inside the join, and what passes is confirmed on the full sets. Nodes already together need no comparison.
+   component are looked at again; there, nodes of different components are compared by size and by a 1024-bit parity sketch
+   inside the join, and what passes is confirmed on the full sets. Nodes already together need no comparison. Each shingle flips one
+   bit of the sketch, so two sketches never differ in more bits than the sets differ in shingles: the filter loses no pair.
 
 Sets of fewer than 6 shingles can only reach 0.85 by being equal, so they skip steps 2 to 4. Null and empty texts have no
 shingles and link with nothing. A null doc_id never becomes a component's id. Extra columns are ignored. Shingles and sets are
@@ -31,8 +32,7 @@ SHINGLE, BINS, BANDS = 5, 256, 32
 ROWS = BINS // BANDS
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sketch bits in which a pair at 0.85 may differ: mean 19, four standard deviations of 4.2.
-SKETCH_BITS = 36
+SKETCH_BITS = 1024
 _SMALLEST = 6
 
 
@@ -118,7 +118,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     key = common.mix(key * np.uint64(5) + cells[:, :, r])
                 key = common.mix(key + np.arange(BANDS, dtype=np.uint64))
-                bits = np.packbits(((common.mix(sig + np.arange(BINS, dtype=np.uint64)) & np.uint64(1)) > 0), axis=1).view(np.int64)
+                flips = np.repeat(np.arange(len(large)), n[large]) * SKETCH_BITS + (common.mix(hashes[keep] + np.uint64(0x9D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                odd = np.bincount(flips, minlength=len(large) * SKETCH_BITS).reshape(len(large), SKETCH_BITS) & 1
+                bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 for d, k, s in zip(large, key.view(np.int64), bits, strict=True):
                     bands[d], sketch[d] = k, s
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(node), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "bands", "sketch"])
@@ -190,9 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def seen(df: DataFrame, side: str) -> DataFrame:
         return df.join(about.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
 
-    apart = lambda: sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(BINS // 64)), F.lit(0))
+    # of sets that link, at most (100 - PERCENT) / (100 + PERCENT) of both sizes together differs
+    apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    may_link = _may_match(F.col("na"), F.col("nb")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(_may_match(F.col("na"), F.col("nb")) & (apart() <= SKETCH_BITS)).select("a", "b"))
+    stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(may_link).select("a", "b"))
     held = members.select("node").distinct()
     wanted = texts.join(nodes.join(held, "node", "left_semi").select("node", "row_key"), "row_key")
     sets = common.checkpoint(wanted.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>"))
@@ -203,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = common.checkpoint(told.join(mixed, "bucket", "left_semi").join(about, "node"))
     left = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_match(F.col("na"), F.col("nb")) & (apart() <= SKETCH_BITS)
+    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_link
     pairs = left.join(right, (left.bucket == right.bucket) & close).select("a", "b").distinct()
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = common.checkpoint(_confirmed(pairs, sets))
