@@ -18,8 +18,6 @@ never compared. Repeated ids count as the query's own row for that query. Empty
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -135,6 +133,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, confidence
     held = vectors.select("vec_id", "vector", F.lit(False).alias("asks"), own(vblocks, 1).cast("int").alias("vb"), every(qblocks).alias("qb"))
     asked = queries.select("vec_id", "vector", F.lit(True).alias("asks"), every(vblocks).alias("vb"), own(qblocks, 2).cast("int").alias("qb"))
     cells = held.unionByName(asked).withColumn("length", F.size("vector"))
-    found = cells.groupBy("length", "vb", "qb").applyInArrow(partial(_cell, k=k, dims=dims, leaf=leaf, confidence=confidence), "query_id long, vec_id long, score double")
+
+    def search(table: pa.Table) -> pa.Table:
+        return _cell(table, k, dims, leaf, confidence)
+
+    found = cells.groupBy("length", "vb", "qb").applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
