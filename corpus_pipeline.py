@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept:
 
 1. quality: the classifier learns on the labelled documents of its input and drops those it scores under the threshold.
-2. near_dedup: of each group of near-duplicates the document with the least doc_id stays. Rows without an id stay, as do rows that repeat the kept id.
+2. near_dedup: documents whose sets of five-word shingles have a similarity of 0.8 or more are near-duplicates (the query op4_near_dedup takes 0.85). Of each group the document with the least doc_id stays. Rows without an id stay, as do rows that repeat the kept id.
 3. substring_dedup: words covered by a 13-word window of a document with a smaller id are cut; texts with cuts are what is left, joined by
    spaces, n_chars follows. Texts without cuts stay as they are; a document that is nothing but repeats is dropped.
 4. secret_scan: values found to be secrets are replaced in the text, n_chars follows.
@@ -30,8 +30,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return held.select(docs.columns)
 
 
+#: Similarity of near-duplicates in the corpus, in percent.
+NEAR_PERCENT = 80
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     once = docs.join(gone, "doc_id", "left_anti")
     return once.select(docs.columns)

@@ -151,6 +151,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dedup.near_duplicates(_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    r = random.Random(14)
+    rows = list(ODD)
+    for i in range(40):
+        words = [f"v{i}_{k}" for k in range(r.randint(8, 200))]
+        rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join(words[: round(len(words) * r.uniform(0.78, 0.9))]))]
+    rows += [(3000, "a1 a2 a3 a4 a5 a6 a7 a8"), (3001, "a1 a2 a3 a4 a5 a6 a7 a8 a9")]  # 4 shingles of 5
+    got = sorted((tuple(x) for x in near_dedup.near_duplicates(_frame(spark, rows), percent=80).collect()), key=_key)
+    assert got == sorted(near_dedup.brute_force(rows, 80), key=_key) != sorted(near_dedup.brute_force(rows), key=_key)
+    assert (near_dedup.bands_of(85), near_dedup.smallest(85), near_dedup.bands_of(80), near_dedup.smallest(80)) == ((32, 8), 6, (42, 6), 4)
+
+
+def test_pipeline_links_near_copies_from_80(spark):
+    import corpus_pipeline
+
+    words = [f"u{k}" for k in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:86])), (3, " ".join(words[:82])), (4, " ".join(words[:60]))]  # 100 shingles; 82, 78 and 56 of them
+    docs = _frame(spark, [r for r in rows if r[0] != 3])
+    assert {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 4}
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(2)
     a = np.sort(r.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))

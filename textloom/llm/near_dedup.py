@@ -3,8 +3,8 @@
 1. A document is its set of distinct 5-word shingles (A-Z lower-cased). Equal sets collapse into one node at once, so
    copies cost nothing further.
 2. One hash per shingle; its top byte picks one of 256 bins, each bin keeps its minimum. An empty bin borrows the bin that
-   a fixed sequence of hashes of (bin, attempt) finds first (optimal densification). 32 bands of 8 bins make bucket keys: a
-   pair at similarity 0.85 misses every bucket with probability 4e-5.
+   a fixed sequence of hashes of (bin, attempt) finds first (optimal densification). Bands of bins make bucket keys, as wide as
+   a pair at the threshold allows to miss every bucket with probability 4e-5 at most: 32 bands of 8 at 0.85, 42 of 6 at 0.80.
 3. Within a bucket each node is paired with the bucket's centre only (a star), so candidates grow linearly. Stars are
    confirmed on the full sets and closed into components.
 4. What stars cannot see: two nodes of a bucket that the centre leaves apart. Only buckets that still hold more than one
@@ -12,7 +12,7 @@
    inside the join, and what passes is confirmed on the full sets. Nodes already together need no comparison. Each shingle flips one
    bit of the sketch, so two sketches never differ in more bits than the sets differ in shingles: the filter loses no pair.
 
-Sets of fewer than 6 shingles can only reach 0.85 by being equal, so they skip steps 2 to 4. Null and empty texts have no
+The threshold is a parameter in percent. Sets of fewer than 6 shingles can only reach 0.85 (4 shingles: 0.80) by being equal, so they skip steps 2 to 4. Null and empty texts have no
 shingles and link with nothing. A null doc_id never becomes a component's id. Extra columns are ignored. Shingles and sets are
 held as 64-bit hashes.
 """
@@ -28,12 +28,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, BINS, BANDS = 5, 256, 32
-ROWS = BINS // BANDS
-#: 100 * intersection >= PERCENT * union.
+SHINGLE, BINS = 5, 256
+#: 100 * intersection >= PERCENT * union, unless another percent is given.
 PERCENT = 85
+#: Probability that a pair at the threshold shares no bucket, at most.
+MISSED = 4e-5
 SKETCH_BITS = 1024
-_SMALLEST = 6
+
+
+def smallest(percent: int) -> int:
+    """Shingles from which on different sets can reach percent: n of n + 1."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 31
+
+
+def bands_of(percent: int) -> tuple[int, int]:
+    """Bands and bins a band: the widest bands that miss at most MISSED of the pairs at percent."""
+    rows = next((r for r in range(BINS, 1, -1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED), 1)
+    return BINS // rows, rows
 
 
 def _attempts(tries: int = 4096) -> np.ndarray:
@@ -101,29 +112,34 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, row_key long, n long, node long, bands array<long>, sketch array<long>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in common.slices(batch.column(2)):
-            hashes, at = shingle_sets(data, offsets)
-            n = np.diff(at)
-            sums = np.add.reduceat(np.append(common.mix(hashes ^ np.uint64(0xA5A5)), np.uint64(0)), at[:-1]) if len(n) else np.zeros(0, np.uint64)
-            node = common.mix(sums + n.astype(np.uint64)).view(np.int64)
-            large = np.flatnonzero(n >= _SMALLEST)
-            bands, sketch = np.full(hi - lo, None, object), np.full(hi - lo, None, object)
-            if len(large):
-                keep = np.repeat(n >= _SMALLEST, n)
-                sig = signatures(hashes[keep], np.r_[0, np.cumsum(n[large])])
-                key = np.zeros((len(large), BANDS), np.uint64)
-                cells = sig.reshape(-1, BANDS, ROWS)
-                for r in range(ROWS):
-                    key = common.mix(key * np.uint64(5) + cells[:, :, r])
-                key = common.mix(key + np.arange(BANDS, dtype=np.uint64))
-                flips = np.repeat(np.arange(len(large)), n[large]) * SKETCH_BITS + (common.mix(hashes[keep] + np.uint64(0x9D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-                odd = np.bincount(flips, minlength=len(large) * SKETCH_BITS).reshape(len(large), SKETCH_BITS) & 1
-                bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                for d, k, s in zip(large, key.view(np.int64), bits, strict=True):
-                    bands[d], sketch[d] = k, s
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(node), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "bands", "sketch"])
+def _signed(percent: int):
+    least, (bands_made, rows) = smallest(percent), bands_of(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in common.slices(batch.column(2)):
+                hashes, at = shingle_sets(data, offsets)
+                n = np.diff(at)
+                sums = np.add.reduceat(np.append(common.mix(hashes ^ np.uint64(0xA5A5)), np.uint64(0)), at[:-1]) if len(n) else np.zeros(0, np.uint64)
+                node = common.mix(sums + n.astype(np.uint64)).view(np.int64)
+                large = np.flatnonzero(n >= least)
+                bands, sketch = np.full(hi - lo, None, object), np.full(hi - lo, None, object)
+                if len(large):
+                    keep = np.repeat(n >= least, n)
+                    sig = signatures(hashes[keep], np.r_[0, np.cumsum(n[large])])
+                    key = np.zeros((len(large), bands_made), np.uint64)
+                    cells = sig[:, : bands_made * rows].reshape(-1, bands_made, rows)
+                    for r in range(rows):
+                        key = common.mix(key * np.uint64(5) + cells[:, :, r])
+                    key = common.mix(key + np.arange(bands_made, dtype=np.uint64))
+                    flips = np.repeat(np.arange(len(large)), n[large]) * SKETCH_BITS + (common.mix(hashes[keep] + np.uint64(0x9D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                    odd = np.bincount(flips, minlength=len(large) * SKETCH_BITS).reshape(len(large), SKETCH_BITS) & 1
+                    bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                    for d, k, s in zip(large, key.view(np.int64), bits, strict=True):
+                        bands[d], sketch[d] = k, s
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(node), pa.array(list(bands), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "bands", "sketch"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,24 +182,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), those similar enough on their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def _may_match(n, m):
+def _may_match(n, m, percent: int):
     """Sizes alone allow the similarity."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Sets of shingles link from a similarity of percent hundredths."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    signed = common.checkpoint(texts.mapInArrow(_signed, _SIGNED))
-    nodes = common.checkpoint(signed.filter(f"n >= {_SMALLEST}").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    signed = common.checkpoint(texts.mapInArrow(_signed(percent), _SIGNED))
+    nodes = common.checkpoint(signed.filter(f"n >= {smallest(percent)}").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("held")).filter("held > 1").select("bucket", "centre")
     members = common.checkpoint(buckets.join(centres, "bucket"))
@@ -192,15 +208,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def seen(df: DataFrame, side: str) -> DataFrame:
         return df.join(about.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
 
-    # of sets that link, at most (100 - PERCENT) / (100 + PERCENT) of both sizes together differs
+    # of sets that link, at most (100 - percent) / (100 + percent) of both sizes together differs
     apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    may_link = _may_match(F.col("na"), F.col("nb")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb")))
+    may_link = _may_match(F.col("na"), F.col("nb"), percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(may_link).select("a", "b"))
     held = members.select("node").distinct()
     wanted = texts.join(nodes.join(held, "node", "left_semi").select("node", "row_key"), "row_key")
     sets = common.checkpoint(wanted.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>"))
-    links = common.checkpoint(_confirmed(stars, sets))
+    links = common.checkpoint(_confirmed(stars, sets, percent))
     roots = components(links)
     told = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
@@ -210,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_link
     pairs = left.join(right, (left.bucket == right.bucket) & close).select("a", "b").distinct()
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = common.checkpoint(_confirmed(pairs, sets))
+    more = common.checkpoint(_confirmed(pairs, sets, percent))
     roots = components(links.union(more))
     named = roots.join(nodes.select("node", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
