@@ -117,6 +117,16 @@ def test_lm_base_counts_exact_and_bigrams_help(spark):
     assert lm.score_documents(_frame(spark, ODD), F.lit(False)).count() == len(ODD)
 
 
+def test_lm_keeps_rare_ngrams_when_keys_outgrow_the_filter(spark):
+    r = random.Random(15)
+    rows = [(i, " ".join(f"p{r.randint(0, 3000)}" for _ in range(30))) for i in range(200)]
+    df = _frame(spark, rows + [(1000 + i, t) for i, t in rows])  # all n-grams are seen twice or more
+    scores = [{x.doc_id: x.score for x in lm.score_documents(df, F.lit(False), bits=bits).collect()} for bits in (1 << 10, 1 << 24)]
+    apart = [abs(scores[0][i] - scores[1][i]) / abs(scores[1][i]) for i in scores[1]]
+    assert np.mean(apart) < 0.02
+    assert lm.width_for(10**9, 64) * 64 >= lm.BITS_A_KEY * 10**9 and lm.width_for(10, 64) * 64 >= lm.BITS
+
+
 def test_bloom_levels():
     parts, width = 4, 1 << 14
     h = common.mix(np.arange(1, 400, dtype=np.uint64))
