@@ -296,6 +296,25 @@ def test_bin_completion_beats_best_fit():
         assert len(packed) <= len(packing.best_fit(sorted(lengths, reverse=True), 30))
 
 
+def test_bin_completion_finishes_on_a_full_block():
+    r = random.Random(16)
+    lengths = []
+    for _ in range(packing.BLOCK // 4):  # sequences of four pieces without waste
+        a, b, c = sorted(r.sample(range(1, 4096), 3))
+        lengths += [a, b - a, c - b, 4096 - c]
+    big = [r.randint(900, 2400) for _ in range(packing.BLOCK)]
+    for own in (lengths, big):
+        packed = packing.bin_completion(own)
+        assert sorted(n for b in packed for n in b) == sorted(own) and all(sum(b) <= 4096 for b in packed)
+        assert len(packed) < len(packing.best_fit(sorted(own, reverse=True), 4096))
+
+
+def test_fillings_of_many_pieces():
+    counts = [0] * 101
+    counts[60], counts[7] = 1, 9
+    assert packing.fillings(counts, 95)[0] == (60, 7, 7, 7, 7, 7)
+
+
 # ---------------------------------------------------------------- media
 
 

@@ -1,10 +1,10 @@
 """Best-fit packing of documents into token sequences by bin completion.
 
 Pieces are dealt evenly into blocks of about 16,000. A block starts from best-fit decreasing as its incumbent. If that misses the
-lower bound, bin completion searches: around the largest unplaced piece it enumerates fillings of up to three further pieces,
-drops dominated ones (a filling is dominated by one that replaces its pieces by larger or fewer ones without more waste), follows them by waste, and prunes
-a branch whose waste exceeds what one sequence less allows. The search is bounded by a number of nodes; the incumbent is
-always complete. Blocks cost at most part of one sequence each against packing everything together.
+lower bound, bin completion searches: the sequences that it filled to the end stay, the others' pieces are dealt anew; if that misses
+the bound too, all are. Around the largest unplaced piece the search builds fillings of any number of pieces, one for each first piece and sum,
+follows the four of least waste, and prunes a branch whose waste exceeds what one sequence less allows. Its nodes are NODES and four for each
+sequence, so it can always reach a solution; the incumbent is always complete. Blocks cost at most part of one sequence each against packing everything together.
 
 Null and empty texts have the end id alone, so one piece of length 1. Repeated rows are packed as often as they come. A null doc_id
 is kept as null. Empty tables give no rows.
@@ -13,6 +13,7 @@ is kept as null. Empty tables give no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 CAPACITY, END = 4096, 1
-#: Pieces in a block, nodes a block's search may open.
+#: Pieces in a block, nodes a block's search may open besides four for each of its sequences.
 BLOCK, NODES = 16_384, 2_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
@@ -69,28 +70,39 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(counts: list[int], room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of room by up to three pieces, least waste first. counts: pieces left by length."""
-    lengths = [n for n in range(room, 0, -1) if counts[n]]
+    """Fillings of room by any number of pieces, least waste first: a first piece of each length, then always the largest that fits. counts: pieces left by length."""
+    lengths = [n for n in range(1, room + 1) if counts[n]]
     if not lengths:
         return [()]
-    found: dict[int, tuple[int, ...]] = {lengths[0]: (lengths[0],)}  # by sum: of equal sums, fewer and larger pieces dominate
-    for i, a in enumerate(lengths[:48]):
-        rest = room - a
-        b = next((n for n in lengths[i:] if n <= rest and counts[n] > (n == a)), 0)
-        if not b:
-            continue
-        found.setdefault(a + b, (a, b))
-        rest -= b
-        c = next((n for n in range(min(rest, b), 0, -1) if counts[n] > (n == a) + (n == b)), 0) if rest else 0
-        if c:
-            found.setdefault(a + b + c, (a, b, c))
+    found: dict[int, tuple[int, ...]] = {}  # by sum: of equal sums, larger first pieces dominate
+    for first in reversed(lengths):
+        own, rest, k = [first], room - first, bisect_right(lengths, first)
+        while rest and (k := min(k, bisect_right(lengths, rest))):
+            n = lengths[k - 1]
+            times = min(rest // n, counts[n] - (n == first))
+            own += [n] * times
+            rest -= n * times
+            k -= 1
+        found.setdefault(room - rest, tuple(own))
+        if not rest and len(found) >= most:
+            break
     return [found[s] for s in sorted(found, reverse=True)[:most]]
 
 
 def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Sequences (lists of lengths) holding all lengths; as few as the search finds."""
-    lengths = sorted(lengths, reverse=True)
-    best = best_fit(lengths, capacity)
+    best = best_fit(sorted(lengths, reverse=True), capacity)
+    least = -(-sum(lengths) // capacity)
+    if len(best) == least:
+        return best
+    full, open_ = [b for b in best if sum(b) == capacity], [b for b in best if sum(b) < capacity]
+    found = full + _search(open_, capacity, nodes + 4 * len(open_))
+    return found if len(found) == least or not full else min(found, _search(best, capacity, nodes + 4 * len(best)), key=len)
+
+
+def _search(best: list[list[int]], capacity: int, nodes: int) -> list[list[int]]:
+    """Fewer sequences for the pieces of best, if nodes suffice. A sequence costs one node, so nodes should exceed them."""
+    lengths = sorted((n for b in best for n in b), reverse=True)
     least = -(-sum(lengths) // capacity)
     while len(best) > least and nodes > 0:
         slack = (len(best) - 1) * capacity - sum(lengths)  # waste that one sequence less allows
