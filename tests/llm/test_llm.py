@@ -371,6 +371,15 @@ def test_substrings_match_brute_force(spark):
     assert substring.dedup_substrings(_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_known_windows_are_dealt_by_document_above_256_parts():
+    for parts in (200, 300):
+        texts = pa.array([W40] * 600)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([0] * 600, pa.int64()), texts], names=["id", "salt", "text"])
+        rows = [r for b in substring._pack_map(parts, 13, 1 << 30)(iter([batch])) for r in b.to_pylist()]
+        known = [(r["part"], i) for r in rows if r["known"] for i in np.frombuffer(r["ids"], np.int64).tolist()]
+        assert len(known) == 599 and all(p == i % parts for p, i in known)
+
+
 def test_cut_documents_keeps_rows_and_columns(spark):
     rows = [(3, W40), (4, W40 + "\n tail"), (5, W40), (6, " spaced  text "), (7, None), (None, W40)]
     df = _frame(spark, rows)

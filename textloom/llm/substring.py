@@ -53,7 +53,7 @@ def _pack_map(parts: int, window: int, chunk: int):
         known = np.empty(len(hashes), bool)
         known[order] = sorted_ids > first
         del order, sorted_hashes, sorted_ids, new, first
-        part = np.where(known, (ids[docs] % parts).astype(np.int32), (hashes >> np.uint64(56)).astype(np.int32) * parts >> 8) if parts <= 256 else (hashes >> np.uint64(40)).astype(np.int64) * parts >> 24
+        part = np.where(known, (ids[docs] % parts).astype(np.int32), (hashes >> np.uint64(56)).astype(np.int32) * parts >> 8 if parts <= 256 else (hashes >> np.uint64(40)).astype(np.int64) * parts >> 24)
         key = part * 2 + known
         by = np.argsort(key, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0, True])
