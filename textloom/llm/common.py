@@ -113,9 +113,13 @@ def starts_of(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests), a local one."""
+    """The cluster's shared folder. Without spark.checkpoint.dir, only a local master gets a folder of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -135,13 +139,19 @@ def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """How many shuffle parts keep each near bytes_each of input; never fewer than the session's."""
     size = size_in_bytes(df)
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, min(-(-size // bytes_each), 200_000)) if size < 1 << 60 else floor
+    return max(floor, -(-size // bytes_each)) if size < 1 << 60 else floor
 
 
 def pieces_for(df: DataFrame, bytes_each: int) -> int:
     """Like parts_for, but from the data alone: small tables get one."""
     size = size_in_bytes(df)
-    return max(1, min(-(-size // bytes_each), 200_000)) if size < 1 << 60 else parts_for(df)
+    return max(1, -(-size // bytes_each)) if size < 1 << 60 else parts_for(df)
+
+
+def text_parts(df: DataFrame, text_col: str, chars_each: int) -> int:
+    """How many parts keep each near chars_each characters of text, counted, so that compression doesn't matter; never fewer than the session's."""
+    chars = df.agg(F.sum(F.length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // chars_each))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

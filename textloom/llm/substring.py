@@ -1,18 +1,24 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-A window is 13 consecutive words of one document (words are ``[^\\x20\\x09-\\x0D]+``). A reference block indexes the
-windows whose hash falls in its range, each with the smallest doc_id that holds it. Every document is parsed against every
-block: maximal runs of matching windows are its factors, and since each window is looked up by itself, windows across
-the border of two factors count only if they match as such. Words covered by a window that starts in a document with a
-smaller doc_id are duplicate spans.
-
-Shape on a cluster: each map task first settles the windows that repeat inside its own chunk of documents (all but those
-of the chunk's smallest doc_id are known duplicates), so a block receives at most one document per chunk for any window:
-no window, however common, makes a hot block. Windows travel packed (about 10 bytes each) to the block of their hash;
-verdicts return as packed positions and meet the texts in one shuffle.
-
-Null texts have no words. Rows with a null doc_id have no smaller document: they are returned whole and never serve as
-reference. Repeated rows (same id and text) get the same answer. Hashes are 64 bits wide.
+A window is 13 consecutive words of one document (words are ``[^\\x20\\x09-\\x0D]+``). Words covered by a window that also starts in a document
+with a smaller doc_id are duplicate spans.
+
+1. A map task cuts its documents into reference blocks of about CHUNK_WINDOWS windows and indexes each by window: the seeds. Each document is parsed
+   greedily against the block (``factors_of``): where a window has a seed in a smaller document, the match is extended word by word in that source for as long as
+   both go on alike; that longest factor, WINDOW words or more, becomes a span and parsing goes on behind it. The windows that lie across the border of two
+   factors are looked up one by one.
+2. Windows without a source in their own block meet those of all other blocks at the part of their hash, which holds the smallest document of
+   each. A block sends a window at most once, for its smallest document, so no window, however common, makes a hot part; factors travel as (start,
+   windows), by document.
+3. Verdicts return packed and meet the texts in one shuffle, where factors and windows close up to spans.
+
+A factor within a block is decided by the parse, a match across blocks by the lookup of each window: sources of other blocks are not at
+hand there, so their factors are the runs of windows found. Both are exact, so are the spans.
+
+Null and empty texts have no words. Rows with a null doc_id have no smaller document: they are returned whole and never serve as
+reference. Repeated rows (same id and text) get the same answer, and a block parses them once; rows that share an id but not the text are never each other's
+source. Very long texts are parsed whole: memory follows the longest text, not the table. Empty tables give no rows. Extra columns never reach
+``dedup_substrings`` and are kept by ``cut_documents``, whatever their names. Hashes are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -28,10 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-#: Windows a map task settles at a time.
-CHUNK_WINDOWS = 2_000_000
-_PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("salts", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
-_PACKED_SQL = "part int, known boolean, hashes binary, salts binary, ids binary, counts binary, places binary"
+#: Windows in a reference block, characters of text whose windows make one part.
+CHUNK_WINDOWS, PART_CHARS = 600_000, 10_000_000
+_PACKED = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("salts", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("runs", pa.binary())])
+_PACKED_SQL = "part int, known boolean, hashes binary, salts binary, ids binary, counts binary, places binary, runs binary"
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -43,45 +49,107 @@ def _widen(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
 
 
+def factors_of(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse of a block, in windows: first window, number of windows and source window of each factor.
+
+    hashes: of all windows of the block, document after document; docs: each window's document; ids: each document's id, ascending. A source lies in a document of a
+    smaller id. A factor of n windows has n + WINDOW - 1 words."""
+    none = np.zeros(0, np.int64)
+    if not len(hashes):
+        return none, none, none
+    order = np.argsort(hashes, kind="stable")
+    seeds = hashes[order]
+    heads = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])
+    source = np.empty(len(hashes), np.int64)
+    source[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    del seeds, order
+    known = np.flatnonzero(ids[docs[source]] < ids[docs])
+    if not len(known):
+        return none, none, none
+    at = source[known]
+    goes_on = (known[1:] == known[:-1] + 1) & (at[1:] == at[:-1] + 1) & (docs[known[1:]] == docs[known[:-1]]) & (docs[at[1:]] == docs[at[:-1]])
+    cut = np.flatnonzero(np.r_[True, ~goes_on])
+    starts, lengths, sources = known[cut].tolist(), np.diff(np.append(cut, len(known))).tolist(), at[cut].tolist()
+    # the first source may change although the one in use goes on alike: then the factor is longer than the run
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    reach = 0
+    for start, n, src in zip(starts, lengths, sources):
+        end = start + n
+        if end <= reach:
+            continue
+        if start < reach:
+            src, start = src + reach - start, reach
+        x, y, step = end, src + end - start, 16
+        limit = min(len(hashes) - x, len(hashes) - y)
+        if limit > 0 and hashes[x] == hashes[y]:
+            grown = 0
+            while grown < limit:
+                hi = min(grown + step, limit)
+                same = (hashes[x + grown : x + hi] == hashes[y + grown : y + hi]) & (docs[x + grown : x + hi] == docs[start]) & (docs[y + grown : y + hi] == docs[src])
+                if not same.all():
+                    grown += int(np.argmin(same))
+                    break
+                grown, step = hi, step * 4
+            end += grown
+        reach = end
+        out[0].append(start)
+        out[1].append(end - start)
+        out[2].append(src)
+    return tuple(np.array(c, np.int64) for c in out)
+
+
 def _pack_map(parts: int, window: int, chunk: int):
-    def settle(hashes, docs, places, salts, ids) -> Iterator[pa.RecordBatch]:
-        """hashes and places of windows, docs: index into salts and ids, which are sorted by id."""
-        order = np.argsort(hashes, kind="stable")
-        sorted_hashes, sorted_ids = hashes[order], ids[docs[order]]
-        new = np.r_[True, sorted_hashes[1:] != sorted_hashes[:-1]]
-        first = sorted_ids[new][np.cumsum(new) - 1]
-        known = np.empty(len(hashes), bool)
-        known[order] = sorted_ids > first
-        del order, sorted_hashes, sorted_ids, new, first
-        part = np.where(known, (ids[docs] % parts).astype(np.int32), (hashes >> np.uint64(56)).astype(np.int32) * parts >> 8 if parts <= 256 else (hashes >> np.uint64(40)).astype(np.int64) * parts >> 24)
-        key = part * 2 + known
-        by = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0, True])
-        out: list[list] = [[] for _ in _PACKED]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = by[lo:hi]
-            held = docs[own]
+    def rows_of(key, docs, salts, ids, places, hashes, runs) -> Iterator[list]:
+        """One packed row for each value of key (sorted): part of it, documents with their counts, places, and hashes or runs."""
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            held = docs[lo:hi]
             heads = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-            k = int(key[own[0]])
-            packed = b"" if k & 1 else hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if parts <= 256 else 8].tobytes()
-            for column, value in zip(out, (k >> 1, bool(k & 1), packed, salts[held[heads]].tobytes(), ids[held[heads]].tobytes(), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[own])), strict=True):
-                column.append(value)
-        for at in range(0, len(out[0]), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 64], f.type) for c, f in zip(out, _PACKED, strict=True)], schema=_PACKED)
+            packed = b"" if hashes is None else hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if parts <= 256 else 8].tobytes()
+            yield [int(key[lo]), hashes is None, packed, salts[held[heads]].tobytes(), ids[held[heads]].tobytes(), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[lo:hi]), b"" if runs is None else _narrow(runs[lo:hi])]
+
+    def batches_of(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for row in rows:
+            held.append(row)
+            if len(held) == 64:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _PACKED)], schema=_PACKED)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _PACKED)], schema=_PACKED)
+
+    def block(hashes, docs, places, salts, ids) -> Iterator[pa.RecordBatch]:
+        """hashes and places of windows, docs: index into salts and ids, which are sorted by id."""
+        starts, runs, _ = factors_of(hashes, docs, ids)
+        part = ids[docs[starts]] % parts
+        by = np.argsort(part, kind="stable")
+        starts, runs, part = starts[by], runs[by], part[by]
+        yield from batches_of(rows_of(part, docs[starts], salts, ids, places[starts], None, runs))
+        edge = np.zeros(len(hashes) + 1, np.int8)
+        edge[starts] += 1
+        np.subtract.at(edge, starts + runs, 1)
+        open_ = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8) == 0)
+        hashes, docs, places = hashes[open_], docs[open_], places[open_]
+        part = ((hashes >> np.uint64(56)).astype(np.int32) * parts >> 8) if parts <= 256 else ((hashes >> np.uint64(40)).astype(np.int64) * parts >> 24)
+        by = np.argsort(part, kind="stable")
+        yield from batches_of(rows_of(part[by], docs[by], salts, ids, places[by], hashes[by], None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def flush():
             hashes, counts, places, salts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            # documents in order of id, so that a stable sort by hash leaves the smallest id first
-            rank = np.argsort(ids, kind="stable")
-            starts = np.cumsum(counts) - counts
-            n = counts[rank]
-            take = np.repeat(starts[rank] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            docs = np.repeat(np.arange(len(rank)), n)
             held.clear()
-            yield from settle(hashes[take], docs, places[take], salts[rank], ids[rank])
+            # documents in order of id, each once: a seed's first window is then of its smallest document
+            rank = np.lexsort((salts, ids))
+            starts, n = (np.cumsum(counts) - counts)[rank], counts[rank]
+            once = np.r_[True, (ids[rank][1:] != ids[rank][:-1]) | (salts[rank][1:] != salts[rank][:-1])]
+            rank, starts, n = rank[once], starts[once], n[once]
+            take = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            docs = np.repeat(np.arange(len(rank), dtype=np.int32), n)
+            hashes, places = hashes[take], places[take]
+            del take
+            yield from block(hashes, docs, places, salts[rank], ids[rank])
 
         for batch in batches:
             ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
@@ -105,50 +173,57 @@ def _pack_map(parts: int, window: int, chunk: int):
 
 
 def _match_block(dests: int):
+    def packed(doc, salt, which, place, runs) -> Iterator[pa.RecordBatch]:
+        """Verdicts by destination. doc, salt: of documents; which: each verdict's document."""
+        dest = ((doc + salt) % dests)[which]
+        order = np.lexsort((which, dest))
+        which, place, dest = which[order], place[order], dest[order]
+        runs = None if runs is None else runs[order]
+        edges = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1], True]) if len(dest) else np.zeros(1, np.int64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            heads = lo + np.flatnonzero(np.r_[True, which[lo + 1 : hi] != which[lo : hi - 1]])
+            blobs = (doc[which[heads]].tobytes(), salt[which[heads]].tobytes(), _narrow(np.diff(np.r_[heads, hi])), _narrow(place[lo:hi]), b"" if runs is None else _narrow(runs[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(dest[lo])]), *(pa.array([b], pa.binary()) for b in blobs)], names=["dest", *_BLOBS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All windows of a block: places of those that start in a smaller document, packed by where the texts go."""
-        hashes, windows, known = [], [], []
+        """Factors go on to their texts; of a part's windows, those that start in a smaller document too."""
+        hashes, docs, salts, counts, places = [], [], [], [], []
         for batch in batches:
-            for r in batch.to_pylist():
-                doc, salt = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["salts"], np.uint32)
-                count = _widen(r["counts"], len(doc)).astype(np.int64)
-                own = (np.repeat(doc, count), np.repeat(salt, count), _widen(r["places"], int(count.sum())))
-                if r["known"]:
-                    known.append(own)
+            for r in range(batch.num_rows):
+                part, known, packed_hashes, s, d, c, p, n = (batch.column(k)[r].as_py() for k in range(8))
+                doc, salt = np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32)
+                count = _widen(c, len(doc)).astype(np.int64)
+                place = _widen(p, int(count.sum()))
+                if known:
+                    yield from packed(doc, salt, np.repeat(np.arange(len(doc)), count), place, _widen(n, len(place)))
                     continue
-                width = len(r["hashes"]) // len(own[0])
-                wide = np.zeros((len(own[0]), 8), np.uint8)
-                wide[:, :width] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, width)
+                width = len(packed_hashes) // len(place)
+                wide = np.zeros((len(place), 8), np.uint8)
+                wide[:, :width] = np.frombuffer(packed_hashes, np.uint8).reshape(-1, width)
                 if width < 8:
-                    wide[:, 7] = r["part"] & 0xFF
-                hashes.append(wide.view("<u8").ravel())
-                windows.append(own)
-        found = known
-        if hashes:
-            h = np.concatenate(hashes)
-            doc, salt, place = (np.concatenate(x) for x in zip(*windows, strict=True))
-            hashes.clear(), windows.clear()
-            order = np.lexsort((doc, h))
-            new = np.r_[True, h[order][1:] != h[order][:-1]]
-            first = doc[order][new][np.cumsum(new) - 1]
-            later = order[doc[order] > first]
-            found.append((doc[later], salt[later], place[later]))
-        if not found:
+                    wide[:, 7] = part & 0xFF
+                for column, value in zip((hashes, docs, salts, counts, places), (wide.view("<u8").ravel(), doc, salt, count, place), strict=True):
+                    column.append(value)
+        if not hashes:
             return
-        doc, salt, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        dest = (doc + salt) % dests
-        order = np.lexsort((salt, doc, dest))
-        doc, salt, place, dest = doc[order], salt[order], place[order], dest[order]
-        edges = np.flatnonzero(np.r_[True, np.diff(dest) != 0, True]) if len(dest) else []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            heads = lo + np.flatnonzero(np.r_[True, (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (salt[lo + 1 : hi] != salt[lo : hi - 1])])
-            blobs = (doc[heads].tobytes(), salt[heads].tobytes(), _narrow(np.diff(np.r_[heads, hi])), _narrow(place[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(dest[lo])]), *(pa.array([b], pa.binary()) for b in blobs)], names=["dest", "ids", "salts", "counts", "places"])
+        h = np.concatenate(hashes)
+        hashes.clear()
+        doc, salt, count, place = (np.concatenate(x) for x in (docs, salts, counts, places))
+        which = np.repeat(np.arange(len(doc), dtype=np.int32), count)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        del h
+        own = doc[which[order]]
+        later = order[own > np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(own))))]
+        del own, order
+        yield from packed(doc, salt, which[later], place[later], None)
 
     return run
 
 
-_VERDICTS = "dest long, ids binary, salts binary, counts binary, places binary"
+_BLOBS = ("ids", "salts", "counts", "places", "runs")
+_VERDICTS = "dest long, " + ", ".join(f"{b} binary" for b in _BLOBS)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,7 +232,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def duplicate_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK_WINDOWS, dests: int = 1) -> DataFrame:
     """Starts of the windows to remove, by (id, salt of the text), packed by dest = (id + salt) mod dests; several rows a dest."""
-    parts = common.parts_for(docs)
+    parts = common.text_parts(docs, text_col, PART_CHARS)
     packed = _keyed(docs, id_col, text_col).filter("id is not null and text is not null").mapInArrow(_pack_map(parts, window, chunk), _PACKED_SQL)
     return packed.repartition(parts, "part").mapInArrow(_match_block(dests), _VERDICTS)
 
@@ -173,27 +248,25 @@ def _cut(window: int, whole: bool):
             out: list[list] = [[], [], [], [], []]
             taken: list[int] = []
             dests, kind = batch.column("dest").to_pylist(), batch.column("kind").to_pylist()
-            blobs = [batch.column(c) for c in ("ids", "salts", "counts", "places")]
+            blobs = [batch.column(c) for c in _BLOBS]
             docs, salts, texts = batch.column("id").to_pylist(), batch.column("salt").to_pylist(), batch.column("text").cast(pa.large_binary())
             for i, (d, k) in enumerate(zip(dests, kind, strict=True)):
                 if d != dest:
                     dest, marks = d, {}
                 if k == 0:
-                    ids, salt, count, places = (b[i].as_py() for b in blobs)
+                    ids, salt, count, places, runs = (b[i].as_py() for b in blobs)
                     own, salt = np.frombuffer(ids, np.int64), np.frombuffer(salt, np.uint32)
                     count = _widen(count, len(own)).astype(np.int64)
-                    places = _widen(places, int(count.sum()))
+                    places = _widen(places, int(count.sum())).astype(np.int64)
+                    stops = places + window + (_widen(runs, len(places)).astype(np.int64) - 1 if runs else 0)
                     ends = np.cumsum(count)
                     for key, a, b in zip(zip(own.tolist(), salt.tolist(), strict=True), (ends - count).tolist(), ends.tolist(), strict=True):
-                        marks.setdefault(key, []).append(places[a:b])
+                        marks.setdefault(key, []).append((places[a:b], stops[a:b]))
                     continue
                 words, spans = (texts[i].as_py() or b"").split(), []
                 if found := marks.get((docs[i], salts[i])):
-                    at = np.unique(np.concatenate(found))
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    edge[at] += 1
-                    edge[at + window] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
+                    begin, stop = (np.bincount(np.concatenate(x), minlength=len(words) + 1) for x in zip(*found, strict=True))
+                    gone = np.cumsum(begin - stop)[:-1] > 0
                     spans = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
                 if spans or not whole:
                     edges = [0, *spans, len(words)]
@@ -211,7 +284,6 @@ def _cut(window: int, whole: bool):
 
 
 _RESULT = "doc_id long, n_words long, span_starts array<int>, span_ends array<int>, kept_text string"
-_BLOBS = ("ids", "salts", "counts", "places")
 
 
 def _together(docs: DataFrame, id_col: str, text_col: str, window: int, chunk: int, rest: list[str] | None) -> DataFrame:
