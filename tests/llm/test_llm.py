@@ -156,7 +156,7 @@ def test_near_duplicates_match_brute_force(spark):
         for _ in range(r.randint(0, 7)):
             words[r.randrange(150)] = f"z{r.randint(0, 400)}"
         rows.append((10_000 - i, " ".join(words)))
-    got = sorted((tuple(x) for x in near_dedup.near_duplicates(_frame(spark, rows)).collect()), key=_key)
+    got = sorted((tuple(x)[:4] for x in near_dedup.near_duplicates(_frame(spark, rows), block=10).collect()), key=_key)
     assert got == sorted(near_dedup.brute_force(rows), key=_key)
     assert near_dedup.near_duplicates(_frame(spark, rows).limit(0)).count() == 0
 
@@ -168,7 +168,7 @@ def test_near_duplicates_at_a_lower_threshold(spark):
         words = [f"v{i}_{k}" for k in range(r.randint(8, 200))]
         rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join(words[: round(len(words) * r.uniform(0.78, 0.9))]))]
     rows += [(3000, "a1 a2 a3 a4 a5 a6 a7 a8"), (3001, "a1 a2 a3 a4 a5 a6 a7 a8 a9")]  # 4 shingles of 5
-    got = sorted((tuple(x) for x in near_dedup.near_duplicates(_frame(spark, rows), percent=80).collect()), key=_key)
+    got = sorted((tuple(x)[:4] for x in near_dedup.near_duplicates(_frame(spark, rows), percent=80).collect()), key=_key)
     assert got == sorted(near_dedup.brute_force(rows, 80), key=_key) != sorted(near_dedup.brute_force(rows), key=_key)
     assert (near_dedup.bands_of(85), near_dedup.smallest(85), near_dedup.bands_of(80), near_dedup.smallest(80)) == ((32, 8), 6, (42, 6), 4)
 
@@ -180,6 +180,18 @@ def test_pipeline_links_near_copies_from_80(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:86])), (3, " ".join(words[:82])), (4, " ".join(words[:60]))]  # 100 shingles; 82, 78 and 56 of them
     docs = _frame(spark, [r for r in rows if r[0] != 3])
     assert {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 4}
+    own = [(3, W40), (5, W40), (5, "another text of six words"), (3, W40), (None, W40), (None, W40), (7, None), (7, None)]
+    kept = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_dedup_stage(spark, _frame(spark, own), "").collect()), key=_key)
+    assert kept == sorted([own[0], own[2], own[4], own[5], own[6]], key=_key)
+    clash = docs.selectExpr("doc_id", "text", "1 AS node", "2 AS row_key", "3 AS bucket", "4 AS component_id")
+    assert corpus_pipeline.near_dedup_stage(spark, clash, "").columns == clash.columns
+
+
+def test_near_duplicates_of_very_long_and_repeated_texts(spark):
+    long = " ".join(f"q{k}" for k in range(120_000))
+    rows = [(k % 3 + 1, long + (" end" if k % 3 else "")) for k in range(9)] + [(9, "x " * 50_000)]
+    got = sorted(tuple(x)[:4] for x in near_dedup.near_duplicates(_frame(spark, rows)).collect())
+    assert got == sorted(near_dedup.brute_force(rows))
 
 
 def test_signatures_estimate_similarity():

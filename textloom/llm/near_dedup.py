@@ -8,13 +8,17 @@
 3. Within a bucket each node is paired with the bucket's centre only (a star), so candidates grow linearly. Stars are
    confirmed on the full sets and closed into components.
 4. What stars cannot see: two nodes of a bucket that the centre leaves apart. Only buckets that still hold more than one
-   component are looked at again; there, nodes of different components are compared by size and by a 1024-bit parity sketch
+   component are looked at again, split by a hash of the node into blocks of about BLOCK nodes; each pair of blocks is a key of its own, so a bucket
+   of any size spreads over many tasks. There, nodes of different components are compared by size and by a 1024-bit parity sketch
    inside the join, and what passes is confirmed on the full sets. Nodes already together need no comparison. Each shingle flips one
    bit of the sketch, so two sketches never differ in more bits than the sets differ in shingles: the filter loses no pair.
 
 The threshold is a parameter in percent. Sets of fewer than 6 shingles can only reach 0.85 (4 shingles: 0.80) by being equal, so they skip steps 2 to 4. Null and empty texts have no
-shingles and link with nothing. A null doc_id never becomes a component's id. Extra columns are ignored. Shingles and sets are
-held as 64-bit hashes.
+shingles and link with nothing. A null doc_id never becomes a component's id. Repeated rows share one set and one component, and each is returned. Very long
+texts are taken whole. Empty tables give no rows. Extra columns are ignored, whatever their names. Shingles and sets are held as 64-bit hashes.
+
+Shuffles of buckets, texts and sets follow the input's size. Copies of one text never meet in a join of pairs; where rows return to their node, the node's answer is
+checkpointed first, so that adaptive execution can split a node that a third of all rows hold.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ PERCENT = 85
 #: Probability that a pair at the threshold shares no bucket, at most.
 MISSED = 4e-5
 SKETCH_BITS = 1024
+#: Nodes of an open bucket in a block.
+BLOCK = 512
 
 
 def smallest(percent: int) -> int:
@@ -195,12 +201,18 @@ def _may_match(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Sets of shingles link from a similarity of percent hundredths."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+def row_key(id_col: str, text_col: str):
+    """A hash of the id and the text: tells rows of one id apart."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, row_key. Sets of shingles link from a similarity of percent hundredths."""
+    parts = common.parts_for(docs)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     signed = common.checkpoint(texts.mapInArrow(_signed(percent), _SIGNED))
     nodes = common.checkpoint(signed.filter(f"n >= {smallest(percent)}").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", F.explode("bands").alias("bucket")).repartition(parts, "bucket")
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("held")).filter("held > 1").select("bucket", "centre")
     members = common.checkpoint(buckets.join(centres, "bucket"))
     about = nodes.select("node", "n", "sketch")
@@ -214,17 +226,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(may_link).select("a", "b"))
     held = members.select("node").distinct()
-    wanted = texts.join(nodes.join(held, "node", "left_semi").select("node", "row_key"), "row_key")
-    sets = common.checkpoint(wanted.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>"))
+    wanted = texts.repartition(parts, "row_key").join(nodes.join(held, "node", "left_semi").select("node", "row_key"), "row_key")
+    sets = wanted.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>")
+    sets = common.checkpoint(sets.repartition(parts, "node").groupBy("node").agg(F.any_value("hashes").alias("hashes")))  # repeated rows share their key
     links = common.checkpoint(_confirmed(stars, sets, percent))
     roots = components(links)
     told = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = common.checkpoint(told.join(mixed, "bucket", "left_semi").join(about, "node"))
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_link
-    pairs = left.join(right, (left.bucket == right.bucket) & close).select("a", "b").distinct()
+    mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    open_ = common.checkpoint(told.join(mixed, "bucket").join(about, "node").withColumn("own", own))
+    at = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    left = open_.select("bucket", F.col("own").alias("lo"), at(F.col("own"), F.col("blocks") - 1).alias("hi"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = open_.select(F.col("bucket").alias("bucket_"), at(F.lit(0), F.col("own")).alias("lo_"), F.col("own").alias("hi_"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    met = (F.col("bucket") == F.col("bucket_")) & (F.col("lo") == F.col("lo_")) & (F.col("hi") == F.col("hi_"))
+    close = ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb")) & may_link
+    pairs = left.join(right, met & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = common.checkpoint(_confirmed(pairs, sets, percent))
     roots = components(links.union(more))
@@ -232,10 +248,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     by_node = named.join(least, "root").select("node", "component")
     copies = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    final = copies.join(by_node, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(final, "node", "left")
+    final = common.checkpoint(copies.join(by_node, "node", "left").select("node", F.coalesce("component", "least").alias("component")))
+    out = signed.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(final, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "row_key")
 
 
 def brute_force(rows: list[tuple], percent: int = PERCENT) -> list[tuple]:

@@ -117,7 +117,7 @@ def _pool(held):
                 if len(own):
                     full = np.flatnonzero(n)
                     sums[full] = np.add.reduceat(vectors[own], firsts[full], axis=0) / n[full, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sums], pa.binary())], names=["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([s.tobytes() for s in sums], pa.binary())], names=["doc_id", "row_key", "features"])
 
     return run
 
@@ -168,19 +168,19 @@ class Network:
 def _apply(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
+            raw = batch.column(2).to_pylist()
             x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), DIMENSIONS).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held.value.score(x))], names=["doc_id", "row_key", "score"])
 
     return run
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, score. held_out: a column over doc_id; such rows do not train."""
+    """One row per document: doc_id, row_key (hash of id and text), score. held_out: a column over doc_id; such rows do not train."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"))
     vectors = spark.sparkContext.broadcast(word_vectors(texts.select("text")))
-    pooled = common.checkpoint(texts.mapInArrow(_pool(vectors), "doc_id long, features binary"))
+    pooled = common.checkpoint(texts.mapInArrow(_pool(vectors), "doc_id long, row_key long, features binary"))
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).filter("doc_id is not null")
     known = known.filter(~held_out) if held_out is not None else known
     fine = 1_000_000
@@ -189,4 +189,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None, id_col: s
     taught.sort(key=lambda r: r.doc_id)
     x = np.frombuffer(b"".join(bytes(r.features) for r in taught), np.float32).reshape(len(taught), DIMENSIONS).astype(float)
     network = spark.sparkContext.broadcast(Network(x, np.array([float(r.label) for r in taught])))
-    return pooled.mapInArrow(_apply(network), "doc_id long, score double")
+    return pooled.mapInArrow(_apply(network), "doc_id long, row_key long, score double")

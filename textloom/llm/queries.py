@@ -26,7 +26,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(common.documents(spark, sf_dir))
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir)).drop("row_key")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,8 @@ def _spark_replace(text: str, pattern: str, by: str) -> str:
 
 def _spark_moves(weights: list[int]):
     array = f"array({', '.join(map(str, weights))})"
-    return lambda classes: f"transform(array({classes}), c -> aggregate(sequence(1, greatest(length(c) - 1, 1)), 0L, (t, k) -> t + coalesce(get({array}, 5 * cast(substring(c, k, 1) AS int) + cast(substring(c, k + 1, 1) AS int)), 0)))[0]"
+    code = lambda k: f"(ascii(get(z, {k})) - 48)"
+    return lambda classes: f"transform(array(split({classes}, '')), z -> aggregate(sequence(1, greatest(size(z) - 1, 1)), 0L, (t, k) -> t + coalesce(get({array}, 5 * {code('k - 1')} + {code('k')}), 0)))[0]"
 
 
 def tokens_expr(text: str) -> str:
