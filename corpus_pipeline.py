@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept:
 
-1. quality: the classifier learns on the labelled documents of its input and drops those it scores under the threshold.
-2. near_dedup: documents whose sets of five-word shingles have a similarity of 0.8 or more are near-duplicates (the query op4_near_dedup takes 0.85). Of each group the document with the least doc_id stays. Rows without an id stay, as do rows that repeat the kept id.
+1. quality: the classifier learns on the labelled documents of its input and drops the rows it scores under the threshold, each by its own text.
+2. near_dedup: documents whose sets of five-word shingles have a similarity of 0.8 or more are near-duplicates (the query op4_near_dedup takes 0.85). Of each group the document with the least doc_id stays, once; rows are told apart by id and text, so another text under an id that goes stays. Rows without an id stay.
 3. substring_dedup: words covered by a 13-word window of a document with a smaller id are cut; texts with cuts are what is left, joined by
    spaces, n_chars follows. Texts without cuts stay as they are; a document that is nothing but repeats is dropped.
 4. secret_scan: values found to be secrets are replaced in the text, n_chars follows.
@@ -23,11 +23,22 @@ from pyspark.sql import functions as F
 from textloom.llm import common, near_dedup, packing, quality, secrets, substring
 
 
+def _by_row(docs: DataFrame, kept: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """Rows of docs whose (id, text) is (left_semi) or isn't (left_anti) in kept's row_key; once: repeated rows with an id only once."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, near_dedup.row_key("doc_id", "text"))
+    if once:
+        other = name + "_"
+        keyed = keyed.withColumn(other, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates([name, other])
+    return keyed.join(kept.select(F.col("row_key").alias(name)), name, how).select(docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = scored.filter(F.col("score") >= quality.THRESHOLD).select("doc_id").distinct()
-    held = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return held.select(docs.columns)
+    kept = scored.filter(F.col("score") >= quality.THRESHOLD).select("row_key").distinct()
+    return _by_row(docs, kept, "left_semi")
 
 
 #: Similarity of near-duplicates in the corpus, in percent.
@@ -36,9 +47,8 @@ NEAR_PERCENT = 80
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti")
-    return once.select(docs.columns)
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("row_key").distinct()
+    return _by_row(docs, gone, "left_anti", once=True)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
