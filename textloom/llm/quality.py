@@ -1,17 +1,18 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a calibrated two-layer network.
 
-1. Tokens are runs of letters, digits or other marks. Letter runs fall by a hash of their A-Z lower-cased bytes into buckets; runs of
-   capitals, repeats of the token before, and digit runs have buckets of their own, so vocabulary never grows.
-2. Random indexing over all documents: each bucket has a fixed sparse ternary index vector; a bucket's context vector is the
-   sum of the index vectors of tokens up to two places away. Map tasks sum small matrices, which are added up by bucket range.
-   A word vector is the context vector at unit length plus the index vector.
+1. Tokens are runs of letters, digits or other marks, A-Z lower-cased. Each has a word: its hash, 64 bits wide, so words are never merged. Shapes that lower-casing loses
+   (a run of capitals, the token before again, a number and its length) are words too, next to the token's own.
+2. Random indexing over all documents: every word has a sparse ternary index vector, drawn from its hash as the seed, so no table of them is needed and the vocabulary is
+   open. A word's context vector is the sum of the index vectors of the tokens up to two places away. Context vectors are held for the FREQUENT
+   (16,384) words with the most tokens in all documents, which bounds what is broadcast; map tasks sum small matrices, which are added up by range of words. A word's vector is its
+   context vector at unit length, if it has one, plus its index vector.
 3. A document is the mean of its tokens' vectors.
 4. A two-layer numpy network learns on the driver from at most SAMPLE labelled documents outside the held-out fold (an even
    sample by a hash of the id); one fifth of them is kept from training to fit the temperature that calibrates the probabilities.
 
-Scores use the text alone. Null and empty texts are the zero vector. Where labels hold fewer than two classes every score is
+Scores use the text alone. Null and empty texts are the zero vector; very long texts are pooled whole. Where labels hold fewer than two classes every score is
 the share of label 1 (0.5 without labels). Labels other than 0 and 1 are ignored; of several labels of one id the largest counts. A null doc_id is scored and never
-trains. Repeated rows are scored alike; extra columns are ignored.
+trains. Repeated rows are scored alike; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,27 +26,31 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, DIMENSIONS, NONZERO, REACH = 8192, 64, 4, 2
+FREQUENT, DIMENSIONS, NONZERO, REACH = 16_384, 64, 4, 2
 #: Most labelled documents the network learns from; hidden units; threshold of a prediction.
 SAMPLE, HIDDEN, THRESHOLD = 20_000, 32, 0.7
-_SPECIAL = 16  # buckets 0.. for capitals, repeats, digits by length
-_RANGE = 512  # buckets in a row of partial sums
+_RANGE = 512  # words in a row of partial sums
+_CHUNK = 1_000_000  # tokens counted at a time
 
 
-def index_vectors(buckets: int = BUCKETS, dims: int = DIMENSIONS, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's nonzero components."""
-    rng = np.random.Generator(np.random.PCG64(11))
-    return np.argsort(rng.random((buckets, dims)), axis=1)[:, :nonzero], rng.choice([-1.0, 1.0], (buckets, nonzero))
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero components of words' index vectors, from their hashes."""
+    seed = common.mix(words ^ np.uint64(0x1D8E4E27C47D124F))
+    shift = np.arange(NONZERO, dtype=np.uint64)
+    places = ((seed[:, None] >> (shift * np.uint64(6))) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    return places, 1.0 - 2.0 * ((seed[:, None] >> (shift + np.uint64(40))) & np.uint64(1)).astype(np.float64)
 
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[common._SPACE] = 0
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _CLASS[0x30:0x3A] = 2
+#: Words of shapes: capitals, the same again, numbers by length up to 12.
+_SHAPES = common.mix(np.arange(1, 16, dtype=np.uint64) + np.uint64(0x5A9E))
 
 
-def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token, and each document's offsets."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all documents in order, and each document's offsets."""
     kind = _CLASS[data]
     begins = kind > 0
     begins[1:] &= kind[1:] != kind[:-1]
@@ -54,34 +59,80 @@ def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts = np.flatnonzero(begins)
     firsts = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), firsts
+        return np.zeros(0, np.uint64), firsts
     solid = np.add.reduceat((kind > 0).astype(np.int64), starts)  # a run's length: only white space follows within its span
     hashes = common.word_hashes(common.fold(data), starts, starts + solid)
     capital = np.add.reduceat(((data >= 0x41) & (data <= 0x5A)).astype(np.int64), starts)
-    out = _SPECIAL + (hashes % np.uint64(BUCKETS - _SPECIAL)).astype(np.int64)
-    out[kind[starts] == 2] = 2 + np.minimum(solid[kind[starts] == 2], 12)
-    letters = kind[starts] == 1
-    out[letters & (solid > 1) & (capital * 2 > solid)] = 0
+    shape = np.zeros(len(starts), np.int64)
+    digits, letters = kind[starts] == 2, kind[starts] == 1
+    shape[digits] = 2 + np.minimum(solid[digits], 12)
+    shape[letters & (solid > 1) & (capital * 2 > solid)] = 1
     same = np.r_[False, (hashes[1:] == hashes[:-1]) & letters[1:]]
     same[firsts[:-1][firsts[:-1] < len(starts)]] = False
-    out[same] = 1
-    return out, firsts
+    shape[same] = 2
+    extra = np.r_[0, np.cumsum(shape > 0)]
+    out = np.empty(len(starts) + extra[-1], np.uint64)
+    place = np.arange(len(starts)) + extra[:-1]
+    out[place] = hashes
+    shaped = np.flatnonzero(shape)
+    out[place[shaped] + 1] = _SHAPES[shape[shaped] - 1]
+    return out, firsts + extra[firsts]
 
 
-def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, signs = index_vectors()
-    total = np.zeros(BUCKETS * DIMENSIONS)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, total = [], 0
+
+    def flush() -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
     for batch in batches:
         for _, _, data, offsets in common.slices(batch.column(0)):
-            own, firsts = token_buckets(data, offsets)
-            doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-            for reach in range(1, REACH + 1):
-                near = doc[reach:] == doc[:-reach]
-                a, b = own[:-reach][near], own[reach:][near]
-                for x, y in ((a, b), (b, a)):
-                    total += np.bincount((x[:, None] * DIMENSIONS + places[y]).ravel(), signs[y].ravel(), minlength=len(total))
-    rows = total.reshape(-1, _RANGE * DIMENSIONS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["range", "sums"])
+            held.append(words_of(data, offsets)[0])
+            total += len(held[-1])
+            if total >= _CHUNK:
+                yield flush()
+                total = 0
+    if held:
+        yield flush()
+
+
+class Vocabulary:
+    """Frequent words, sorted by hash."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Each word's place, or the number of words where it isn't among them."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, len(self.words))
+
+
+def _context(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: Vocabulary = held.value
+        n = len(vocabulary.words) + 1
+        total = np.zeros(n * DIMENSIONS)
+        for batch in batches:
+            for _, _, data, offsets in common.slices(batch.column(0)):
+                words, firsts = words_of(data, offsets)
+                own = vocabulary.places(words)
+                places, signs = index_vectors(words)
+                doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+                for reach in range(1, REACH + 1):
+                    near = np.flatnonzero(doc[reach:] == doc[:-reach])
+                    for x, y in ((near, near + reach), (near + reach, near)):
+                        known = own[x] < n - 1
+                        x, y = x[known], y[known]
+                        total += np.bincount((own[x][:, None] * DIMENSIONS + places[y]).ravel(), signs[y].ravel(), minlength=len(total))
+        rows = [total[k : k + _RANGE * DIMENSIONS] for k in range(0, (n - 1) * DIMENSIONS, _RANGE * DIMENSIONS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["range", "sums"])
+
+    return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,30 +144,41 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in held.values()], pa.binary())], names=["range", "sums"])
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """[bucket, dimension] from the only column of texts; a fixed size whatever the corpus."""
-    parts = texts.mapInArrow(_context, "range int, sums binary").repartition(BUCKETS // _RANGE, "range").mapInArrow(_add, "range int, sums binary")
-    context = np.zeros((BUCKETS // _RANGE, _RANGE * DIMENSIONS))
-    for r in parts.collect():
-        context[r["range"]] += np.frombuffer(r["sums"], "<f8")
-    context = context.reshape(BUCKETS, DIMENSIONS)
-    places, signs = index_vectors()
-    own = np.zeros_like(context)
-    np.put_along_axis(own, places, signs / np.sqrt(NONZERO), axis=1)
-    return (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9) + own).astype(np.float32)
+def word_vectors(texts: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, np.ndarray]:
+    """The frequent words of the only column of texts, and [word, dimension] of their context vectors at unit length; the last row is zero. A bounded size whatever the corpus."""
+    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    vocabulary = Vocabulary(np.array([r.word for r in words], np.int64).view(np.uint64))
+    context = np.zeros((len(words) + 1) * DIMENSIONS)
+    if words:
+        held = texts.sparkSession.sparkContext.broadcast(vocabulary)
+        parts = texts.mapInArrow(_context(held), "range int, sums binary").repartition(-(-len(words) // _RANGE), "range").mapInArrow(_add, "range int, sums binary")
+        for r in parts.collect():
+            own = np.frombuffer(r["sums"], "<f8")
+            context[r["range"] * _RANGE * DIMENSIONS :][: len(own)] += own
+    context = context.reshape(-1, DIMENSIONS)
+    return vocabulary, (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def pooled_vectors(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, context: np.ndarray) -> np.ndarray:
+    """[document, dimension]: means of the tokens' vectors."""
+    words, firsts = words_of(data, offsets)
+    n = np.diff(firsts)
+    out = np.zeros((len(n), DIMENSIONS), np.float32)
+    if len(words):
+        full = np.flatnonzero(n)
+        places, signs = index_vectors(words)
+        doc = np.repeat(np.arange(len(n)), n)
+        own = np.bincount((doc[:, None] * DIMENSIONS + places).ravel(), signs.ravel() / np.sqrt(NONZERO), minlength=len(n) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        out[full] = (np.add.reduceat(context[vocabulary.places(words)], firsts[full], axis=0) + own[full]) / n[full, None]
+    return out
 
 
 def _pool(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = held.value
         for batch in batches:
             for lo, hi, data, offsets in common.slices(batch.column(1)):
-                own, firsts = token_buckets(data, offsets)
-                n = np.diff(firsts)
-                sums = np.zeros((hi - lo, DIMENSIONS), np.float32)
-                if len(own):
-                    full = np.flatnonzero(n)
-                    sums[full] = np.add.reduceat(vectors[own], firsts[full], axis=0) / n[full, None]
+                sums = pooled_vectors(data, offsets, *held.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([s.tobytes() for s in sums], pa.binary())], names=["doc_id", "row_key", "features"])
 
     return run
