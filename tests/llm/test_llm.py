@@ -137,6 +137,33 @@ def test_quality_learns_and_calibrates(spark):
     assert quality.score_documents(docs.limit(0), known).count() == 0
 
 
+def test_word_vectors_agree_with_plain_sums(spark):
+    texts = ["one two THREE three 12 345", "two two one", "", None, "x" * 5000 + " one"]
+    data = [t for t in texts if t]
+    vocabulary, context = quality.word_vectors(_frame(spark, list(enumerate(texts))).select("text"), frequent=6)
+    split = []
+    for t in data:
+        ((_, _, d, o),) = common.slices(pa.array([t]))
+        split.append(quality.words_of(d, o)[0].tolist())
+    counts: dict = {}
+    for ws in split:
+        for w in ws:
+            counts[w] = counts.get(w, 0) + 1
+    assert set(vocabulary.words.tolist()) == set(sorted(counts, key=lambda w: (-counts[w], np.int64(np.uint64(w).view(np.int64))))[:6])
+    own = lambda w: (lambda p, s: np.bincount(p[0], s[0], minlength=quality.DIMENSIONS))(*quality.index_vectors(np.array([w], np.uint64)))
+    for k, w in enumerate(vocabulary.words.tolist()):
+        total = np.zeros(quality.DIMENSIONS)
+        for ws in split:
+            for a, x in enumerate(ws):
+                if x == w:
+                    total += sum((own(ws[b]) for b in range(max(0, a - 2), min(len(ws), a + 3)) if b != a), np.zeros(quality.DIMENSIONS))
+        assert np.allclose(context[k], total / max(np.linalg.norm(total), 1e-9), atol=1e-5)
+    ((_, _, d, o),) = common.slices(pa.array(["one two"]))
+    a, b = quality.words_of(d, o)[0].tolist()
+    vector = lambda w: own(w) / 2 + context[vocabulary.places(np.array([w], np.uint64))[0]]
+    assert np.allclose(quality.pooled_vectors(d, o, vocabulary, context)[0], (vector(a) + vector(b)) / 2, atol=1e-5)
+
+
 # ---------------------------------------------------------------- language model
 
 
@@ -161,6 +188,23 @@ def test_lm_base_counts_exact_and_bigrams_help(spark):
     assert lm.score_documents(_frame(spark, ODD), F.lit(False)).count() == len(ODD)
 
 
+def test_lm_scores_agree_with_exact_counts(spark):
+    r = random.Random(25)
+    rows = [(i, " ".join(f"{r.choice('abc')}{min(r.randint(0, 30), r.randint(0, 30))}" for _ in range(r.randint(0, 60)))) for i in range(150)]
+    rows += [(200 + i, t) for i, t in rows[:40]]
+    held = lambda i: i % 5 == 1
+    want = lm.brute_force_score([(i, t, held(i)) for i, t in rows])
+    got = {x.doc_id: x.score for x in lm.score_documents(_frame(spark, rows), F.col("doc_id") % 5 == 1).collect()}
+    apart = [abs(got[i] - want[i]) / abs(want[i]) for i in want]
+    assert np.mean(apart) < 0.03 and max(apart) < 0.1 and np.corrcoef([got[i] for i in want], [want[i] for i in want])[0, 1] > 0.99
+    twice = [got[i] / len(t.split()) for i, t in rows[:40] if len(t.split()) > 20 and not held(i)]
+    once = [got[i] / len(t.split()) for i, t in rows[40:150] if len(t.split()) > 20 and not held(i)]
+    assert np.mean(twice) > np.mean(once)
+    toks = np.array([5, 6, int(lm._END), 5, 6], np.uint64)
+    own = lm.trigrams(toks, lm.bigrams(toks))
+    assert own[0] == own[3] and own[1] == own[4]  # nothing of the text before
+
+
 def test_lm_keeps_rare_ngrams_when_keys_outgrow_the_filter(spark):
     r = random.Random(15)
     rows = [(i, " ".join(f"p{r.randint(0, 3000)}" for _ in range(30))) for i in range(200)]
@@ -411,8 +455,12 @@ def test_fillings_waste_least_first():
 
 def test_png_filters_checksums_and_features(spark):
     payload = bytes(range(256)) * 4
-    for kind in (0, 1, 2):
-        assert media.decode_png(media.encode_png(payload, row_filter=kind)).tobytes() == payload
+    noise = np.random.default_rng(5).integers(0, 256, 64 * 300, dtype=np.uint8).tobytes()
+    slope = (np.add.outer(np.arange(90) * 3, np.arange(64) * 2) % 256).astype(np.uint8).tobytes()
+    for kind in (None, 0, 1, 2, 3, 4):
+        for own in (payload, noise, slope, bytes(64), b"some text, as it stands in a document. " * 64):
+            assert media.decode_png(media.encode_png(own, row_filter=kind)).tobytes() == own
+    assert len(set(media.filtered(np.frombuffer(payload + slope + noise, np.uint8).reshape(-1, 64))[:, 0].tolist())) > 2
     rows = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(int)
     lines = np.zeros((len(rows), 65), np.uint8)
     for y in range(len(rows)):  # the two filters that only the reader knows
