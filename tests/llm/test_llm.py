@@ -542,12 +542,18 @@ def test_factors_are_greedy_longest_matches():
     assert not len(substring.factors_of(flat[:0], of[:0], ids)[0])
 
 
+def test_ids_travel_as_distances():
+    for ids in ([5], [-(2**63), 2**63 - 1], [-3, -3, 0, 200], [1, 2**40, 2**62], list(range(0, 70_000, 7))):
+        own = np.array(ids, np.int64)
+        assert substring._undeltas(substring._deltas(own), len(own)).tolist() == ids
+
+
 def test_known_windows_are_dealt_by_document_above_256_parts():
     for parts in (200, 300):
         texts = pa.array([W40] * 600)
         batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([0] * 600, pa.int64()), texts], names=["id", "salt", "text"])
         rows = [r for b in substring._pack_map(parts, 13, 1 << 30)(iter([batch])) for r in b.to_pylist()]
-        known = [(r["part"], i) for r in rows if r["known"] for i in np.frombuffer(r["ids"], np.int64).tolist()]
+        known = [(r["part"], i) for r in rows if r["known"] for i in substring._undeltas(r["ids"], len(r["salts"]) // 4).tolist()]
         assert len(known) == 599 and all(p == i % parts for p, i in known)
 
 

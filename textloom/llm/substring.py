@@ -49,6 +49,21 @@ def _widen(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
 
 
+def _deltas(ids: np.ndarray) -> bytes:
+    """Ascending ids: the first, then the distances, as narrow as they allow."""
+    apart = np.diff(ids.view(np.uint64))
+    top = int(apart.max(initial=0))
+    return ids[:1].tobytes() + apart.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def _undeltas(data: bytes, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[:1] = np.frombuffer(data[:8], np.uint64)
+    if n > 1:
+        out[1:] = np.frombuffer(data[8:], f"<u{(len(data) - 8) // (n - 1)}")
+    return np.cumsum(out, dtype=np.uint64).view(np.int64)
+
+
 def factors_of(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy parse of a block, in windows: first window, number of windows and source window of each factor.
 
@@ -106,7 +121,7 @@ def _pack_map(parts: int, window: int, chunk: int):
             held = docs[lo:hi]
             heads = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
             packed = b"" if hashes is None else hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if parts <= 256 else 8].tobytes()
-            yield [int(key[lo]), hashes is None, packed, salts[held[heads]].tobytes(), ids[held[heads]].tobytes(), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[lo:hi]), b"" if runs is None else _narrow(runs[lo:hi])]
+            yield [int(key[lo]), hashes is None, packed, salts[held[heads]].tobytes(), _deltas(ids[held[heads]]), _narrow(np.diff(np.r_[heads, len(held)])), _narrow(places[lo:hi]), b"" if runs is None else _narrow(runs[lo:hi])]
 
     def batches_of(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -191,7 +206,8 @@ def _match_block(dests: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 part, known, packed_hashes, s, d, c, p, n = (batch.column(k)[r].as_py() for k in range(8))
-                doc, salt = np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32)
+                salt = np.frombuffer(s, np.uint32)
+                doc = _undeltas(d, len(salt))
                 count = _widen(c, len(doc)).astype(np.int64)
                 place = _widen(p, int(count.sum()))
                 if known:
