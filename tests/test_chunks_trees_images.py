@@ -109,11 +109,12 @@ def test_html_to_markdown(spark):
     assert tree.pick_samples(snaps).count() == 2
 
 
-def test_image_refs():
+def test_image_refs(spark):
     paths = {"https://e.com/media/i/p.png": "images/p/img-001.png"}
     text = "![a](https://e.com/media/i/p.png) ![b](i/p.png?x=1#y) ![c](other.png) ![d](/media/i/p.png)"
-    assert convert.replace_refs(text, paths) == "![a](images/p/img-001.png) ![b](images/p/img-001.png) ![c](other.png) ![d](images/p/img-001.png)"
-    assert convert.replace_refs(None, paths) is None and convert.replace_refs("x", None) == "x"
+    assert spark.createDataFrame([(text, paths)], "m string, p map<string,string>").select(convert.localize_images("m", "p")).first()[0] == "![a](images/p/img-001.png) ![b](images/p/img-001.png) ![c](other.png) ![d](images/p/img-001.png)"
+    odd = spark.createDataFrame([(None, paths), ("x ![a](b)", None), ("![a](x.png)", {"not a url": "l"})], "m string, p map<string,string>")
+    assert [r[0] for r in odd.select(convert.localize_images("m", "p")).collect()] == [None, "x ![a](b)", "![a](x.png)"]
 
 
 PNG = b"\x89PNG\r\n\x1a\n" + bytes(8) + struct.pack(">II", 640, 480)
@@ -125,6 +126,9 @@ DIMENSIONS = [
     (b"RIFF\0\0\0\0WEBPVP8 " + bytes(10) + struct.pack("<HH", 0x4000 | 100, 50), (100, 50)),
     (b"RIFF\0\0\0\0WEBPVP8L" + bytes(5) + struct.pack("<I", 99 | 49 << 14), (100, 50)),
     (JPEG, (64, 48)),
+    (b"\xff\xd8\xff\x01\xff\xff\xff\xe1\x00\x06\xff\xc0ab\xff\xc5\x00\x11\x08" + struct.pack(">HH", 7, 9) + bytes(8), (9, 7)),
+    (b"\xff\xd8\xff\xda\x00\x04ab\xff\xc0\x00\x11\x08" + bytes(12), None),
+    (b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"), (640, 480)),
     (b'<svg width="24px" height="16">', (24, 16)),
     (b'<svg width="100%" height="50%" viewBox="0 0 300 200">', (300, 200)),
     (b'<svg viewBox="0,0,30,20">', (30, 20)),
@@ -177,3 +181,35 @@ def test_site_config(tmp_path):
     assert site_config.fill_env("$A-${B}", {"A": "1", "B": "2"}) == "1-2"
     with pytest.raises(site_config.ConfigError):
         site_config.fill_env("$MISSING", {})
+
+
+def test_files_that_are_written(spark, tmp_path):
+    import json
+
+    docs = spark.createDataFrame([("a", "# A\n\n" + "words and more. " * 40), ("b", "short")], "stem string, text string")
+    config = chunking.ChunkConfig(200, 20, False)
+    rendered = chunking.render(docs, chunking.chunk(docs, "stem", "text", config), "stem", "text", "now")
+    files.write_texts(rendered, str(tmp_path / "chunks"))
+    back = spark.read.text(str(tmp_path / "chunks"), wholetext=True)
+    assert {(r.file, r.value.rstrip()) for r in back.collect()} == {(r.file, r.content.rstrip()) for r in rendered.collect()}
+    told = json.loads(chunking.manifest_json(chunking.manifest(rendered), config, "now").first().content)
+    assert told["totalPages"] == 1 and told["totalChunks"] == rendered.count() and told["pages"][0]["files"][0] == "chunks/a-001.md" and told["chunkConfig"]["chunkSize"] == 200
+    assert files.missing_input(spark, str(tmp_path)).startswith("no site.json")
+    (tmp_path / "site.json").write_text("{}")
+    assert files.missing_input(spark, str(tmp_path), "generic") is None and "no converter" in files.missing_input(spark, str(tmp_path), "none")
+    store = files.WaveStore(spark, str(tmp_path / "state"))
+    store.save(docs)
+    assert store.load().count() == 2
+    store.delete()
+    assert store.load() is None
+
+
+def test_snapshots_of_one_reading_agree_with_trees_and_maps(spark):
+    page = '<title>T</title><body><nav><a href="/x">X</a></nav><main><h2>H</h2><p>one<img src="http://e.com/i.png" alt="i"></p><a href="/y">Y z</a></main>'
+    df = spark.createDataFrame([(1, "https://e.com/", page), (2, "https://e.com/b", None), (3, "https://e.com/c", "")], "page_id long, url string, html string")
+    nodes = html_nodes.read_nodes(df)
+    apart = manifest.snapshots(tree.trees(nodes), tree.url_maps(tree.explode_nodes(nodes)), df, "2024-01-01")
+    columns = sorted(apart.columns)
+    rows = lambda x: sorted((tuple(r[c] for c in columns) for r in x.collect()), key=lambda r: r[columns.index("page_id")])
+    want = [tuple("" if c == "title" and v is None else v for c, v in zip(columns, r, strict=True)) for r in rows(apart)]
+    assert rows(html_nodes.read_snapshots(df, "2024-01-01").select(columns)) == want

@@ -94,3 +94,33 @@ def test_incremental(spark, tmp_path):
     incremental.run(spark, source, seen, check, exclude=["/b"])
     got = sorted((r.url, r.status, r.batch) for r in spark.read.parquet(seen).collect())
     assert got == [("https://e.com/a", "queued", 0), ("https://e.com/b", "excluded", 0), ("https://e.com/c", "queued", 1)]
+
+
+def test_positions_keep_their_order_beyond_six_digits(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 9, 2**24 - 1, 2**24, 2**24 + 1, 2**40)], "n long")
+    told = [r[0] for r in df.orderBy("n").select(frontier.place(df.n)).collect()]
+    assert told == sorted(told) and told[0] == "000000" and len(set(told)) == 6
+
+
+def test_a_deep_crawl_ends_by_itself(spark):
+    edges = spark.createDataFrame([(f"u{k}", 0, f"u{k + 1}") for k in range(20)], "src string, pos int, dst string")
+    out = frontier.bfs(edges, spark.createDataFrame([("u0", 0)], "url string, ord int"), scoped=False)
+    assert {(r.url, r.wave, r.status) for r in out.collect()} == {(f"u{k}", k, "completed") for k in range(21)}
+
+
+def test_resumed_settings_and_first_state():
+    saved = {"exclude": ["/a"], "preserveQuery": True}
+    assert frontier.restored(None, None, saved) == (["/a"], True)
+    assert frontier.restored(["/b"], False, saved) == (["/b"], False) and frontier.restored(None, None, None) == (None, None)
+    state = frontier.initial_state("https://e.com/docs/", ["/docs/**"], {"exclude": ["/x"]}, "t")
+    assert state["queue"] == state["discoveredUrls"] == ["https://e.com/docs"] and state["completedUrls"] == [] and state["config"] == {"exclude": ["/x"]}
+
+
+def test_list_mode(spark):
+    listed = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "d")], "ord int, url string")
+    came = spark.createDataFrame([("a",), ("d",)], "url string")
+    rows = lambda df: sorted((r.ord, r.url, r.status) for r in df.collect())
+    assert rows(frontier.list_mode(listed, came)) == [(0, "a", "completed"), (1, "b", "failed"), (3, "c", "failed"), (4, "d", "completed")]
+    earlier = spark.createDataFrame([("b", "completed"), ("d", "failed")], "url string, status string")
+    assert rows(frontier.list_mode(listed, came, earlier)) == [(0, "a", "completed"), (1, "b", "completed"), (3, "c", "failed"), (4, "d", "failed")]
+    assert rows(frontier.list_mode(listed, came, earlier, retry_failed=True))[-1] == (4, "d", "completed")

@@ -130,3 +130,12 @@ def test_small_url_functions(spark):
     login = spark.createDataFrame([("https://e.com/a", "https://e.com/a", "Log In now"), ("https://e.com/a", "https://sso.e.com/", "x"), ("https://e.com/a", "https://e.com/b", None)], "r string, l string, t string")
     assert [r[0] for r in login.select(urls.login_like("r", "l", "t")).collect()] == [True, True, False]
     assert _one(spark, urls.inspect_name(F.lit("https://e.com/a/b/"))) == "a-b" and _one(spark, urls.inspect_name(F.lit("https://e.com/"))) == "index"
+
+
+def test_expressions_are_those_of_the_jvm(spark):
+    df = spark.createDataFrame([("/en/guide",), ("/fr/guide",)], "p string")
+    hit = lambda pattern: [r[0] for r in df.select(patterns.any_match(df.p, [pattern])).collect()]
+    assert hit("re:^/(?<lang>en|de)/") == [True, False]
+    assert hit("re:^/(?P<lang>en)/") == [False, False] and hit("re:[unclosed") == [False, False]
+    assert patterns.excluding("/de/x", ["re:^/(?<lang>en|de)/"]) and patterns.excluding("/fr/x", ["re:^/(?<lang>en|de)/"]) is None
+    assert urls.start_url("https://e.com/docs///") == "https://e.com/docs"

@@ -2,7 +2,7 @@
 
 Globs: ``*`` and ``?`` stay within a path segment and do not match a leading dot; ``**`` as a whole segment spans
 segments; ``{a,b}`` and ``{1..3}`` expand; ``[...]`` classes; ``@() +() *() ?() !()``; a leading ``!`` negates; a leading ``#`` never
-matches. Besides, ``X/**`` also matches ``X`` and ``X/``. An invalid regular expression matches nothing.
+matches. Besides, ``X/**`` also matches ``X`` and ``X/``. An expression after ``re:`` is one of the JVM, where it runs; an invalid one matches nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ class Pattern:
 
     regex: str | None
     negated: bool = False
+    java: bool = False
 
     def column(self, path: Column) -> Column:
         if self.regex is None:
@@ -30,7 +31,9 @@ class Pattern:
         return ~found if self.negated else found
 
     def test(self, path: str) -> bool:
-        """The same on one Python string."""
+        """The same on one Python string; an expression of the JVM is asked there."""
+        if self.java and (jvm := _jvm()) is not None:
+            return jvm.java.util.regex.Pattern.compile(self.regex).matcher(path).find()
         return self.regex is not None and (re.search(self.regex, path) is not None) != self.negated
 
 
@@ -138,13 +141,27 @@ def glob_regex(glob: str) -> str:
     return "^(?:" + "|".join(options) + ")$"
 
 
+def _jvm():
+    from pyspark import SparkContext
+
+    return SparkContext._active_spark_context._jvm if SparkContext._active_spark_context is not None else None
+
+
+def _valid(regex: str) -> bool:
+    """Whether the JVM takes the expression; without a session Python's own opinion."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = _jvm()
+    try:
+        re.compile(regex) if jvm is None else jvm.java.util.regex.Pattern.compile(regex)
+    except (re.error, Py4JJavaError):
+        return False
+    return True
+
+
 def compile_pattern(pattern: str) -> Pattern:
     if pattern.startswith("re:"):
-        try:
-            re.compile(pattern[3:])
-        except re.error:
-            return Pattern(None)
-        return Pattern(pattern[3:])
+        return Pattern(pattern[3:], java=True) if _valid(pattern[3:]) else Pattern(None)
     if pattern.startswith("#"):
         return Pattern(None)
     bare = pattern.lstrip("!")

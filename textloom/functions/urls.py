@@ -110,19 +110,33 @@ def login_like(requested: Column | str, landed: Column | str, title: Column | st
 
 def resolve(base: Column | str, href: Column | str) -> Column:
     """An href against its page: absolute, scheme-relative, root-relative, query or fragment only, or relative; dot segments are kept."""
-    h = F.trim(_col(href))
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    bare = F.concat(origin(base), path(base))
+    return F.transform(F.array(page_base(base)), lambda b: resolve_at(b, _col(href)))[0]
+
+
+def page_base(url: Column | str) -> Column:
+    """What resolving against a page needs, reckoned once: scheme with colon, origin, folder, bare URL, query."""
+    c = _col(url)
+    return F.struct(F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1).alias("scheme"), origin(c).alias("origin"), F.regexp_replace(path(c), "[^/]*$", "").alias("folder"), F.concat(origin(c), path(c)).alias("bare"), search(c).alias("search"))
+
+
+def resolve_at(base: Column, href: Column) -> Column:
+    """``resolve`` against a ``page_base``."""
+    h = F.trim(href)
     return (
         F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(_col(base), "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(bare, h))
-        .when(h.startswith("#") | (h == ""), F.concat(bare, search(base), h))
-        .otherwise(F.concat(origin(base), folder, h))
+        .when(h.startswith("//"), F.concat(base["scheme"], h))
+        .when(h.startswith("/"), F.concat(base["origin"], h))
+        .when(h.startswith("?"), F.concat(base["bare"], h))
+        .when(h.startswith("#") | (h == ""), F.concat(base["bare"], base["search"], h))
+        .otherwise(F.concat(base["origin"], base["folder"], h))
     )
 
 
+def start_url(url: str) -> str:
+    """A crawl's start URL: trailing slashes go, nothing else."""
+    return url.rstrip("/")
+
+
 def auto_match(start_url: str) -> list[str] | None:
     """The scope that a start URL suggests: everything below its path; none for the root."""
     from urllib.parse import urlsplit

@@ -75,35 +75,24 @@ def convert(snapshots: DataFrame, converter: str = "generic", only: list[str] |
     return chosen.withColumn("_c", run("tree", "url_map", "image_map")).select("*", "_c.markdown", "_c.error").drop("_c")
 
 
-def image_keys(url: str) -> list[str]:
-    """What a Markdown file may call an image: its URL, its path, and each proper tail of the path."""
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", url)
-    if not m:
-        return [url]
-    names = [x for x in m[1].split("/") if x]
-    return [url, m[1], *("/".join(names[k:]) for k in range(1, len(names)))]
-
-
-_IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
-
+_IMAGE = r"!\[[^\]]*\]\([^)]+\)"
+_URL_PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
-def replace_refs(markdown: str | None, paths: dict | None) -> str | None:
-    """Image references whose URL, path or tail of a path is known point to the local file; later images win."""
-    if markdown is None:
-        return None
-    known = {key: local for url, local in (paths or {}).items() for key in image_keys(url)}
 
-    def point(m: re.Match) -> str:
-        local = known.get(m[2]) or known.get(re.split(r"[?#]", m[2], maxsplit=1)[0])
-        return f"![{m[1]}]({local})" if local else m[0]
-
-    return _IMAGE.sub(point, markdown)
+def image_keys(url: Column) -> Column:
+    """What a Markdown file may call an image: its URL, its path, and each proper tail of the path."""
+    names = F.filter(F.split(F.regexp_extract(url, _URL_PATH, 1), "/"), lambda x: x != "")
+    tails = F.transform(F.array(names), lambda n: F.when(F.size(n) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(n), F.lit(2))), lambda k: F.array_join(F.slice(n, k, F.size(n)), "/"))).otherwise(F.array().cast("array<string>")))[0]
+    return F.when(url.rlike(_URL_PATH), F.concat(F.array(url, F.regexp_extract(url, _URL_PATH, 1)), tails)).otherwise(F.array(url))
 
 
 def localize_images(markdown: Column | str, paths: Column | str) -> Column:
-    """``replace_refs`` as a column; paths: a map of URL to local path."""
-    @F.pandas_udf("string")
-    def run(m: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([replace_refs(a, dict(b) if b is not None else None) for a, b in zip(m, p, strict=True)], dtype=object)
-
-    return run(markdown, paths)
+    """Image references whose URL, path or tail of a path is known point to the local file; paths: a map of URL to local path, later images win. Null Markdown stays null."""
+    text, known = (F.col(c) if isinstance(c, str) else c for c in (markdown, paths))
+    entries = F.flatten(F.transform(F.map_entries(known), lambda e: F.transform(image_keys(e["key"]), lambda k: F.struct(k.alias("key"), e["value"].alias("path")))))
+    last = lambda held, key: F.get(F.transform(F.reverse(F.filter(held, lambda e: e["key"] == key)), lambda e: e["path"]), F.lit(0))
+    target = lambda ref: F.regexp_extract(ref, r"\]\(([^)]+)\)$", 1)
+    pointed = lambda held, ref: F.coalesce(F.concat(F.regexp_extract(ref, r"^(!\[[^\]]*\]\()", 1), F.coalesce(last(held, target(ref)), last(held, F.regexp_replace(target(ref), "[?#].*$", ""))), F.lit(")")), ref)
+    # the texts between references and the references, by turns
+    done = F.transform(F.array(F.coalesce(entries, F.array().cast("array<struct<key:string,path:string>>"))), lambda held: F.array_join(F.zip_with(F.split(text, _IMAGE, -1), F.regexp_extract_all(text, F.lit(_IMAGE), 0), lambda t, ref: F.concat(t, F.coalesce(pointed(held, ref), F.lit("")))), ""))[0]
+    return F.when(text.rlike(_IMAGE), done).otherwise(text)

@@ -18,9 +18,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def html_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, base, ord, href, url): every anchor of every page in order, its href resolved against the page."""
-    found = F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), 1)).alias("ord", "href")
-    held = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), found)
-    return held.withColumn("url", urls.resolve("base", "href"))
+    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(HREF), 1)
+    # the base is parsed once a page and each href resolved once, before the explode
+    resolved = F.transform(F.array(urls.page_base(url_col)), lambda b: F.transform(hrefs, lambda h: F.struct(h.alias("href"), urls.resolve_at(b, h).alias("url"))))[0]
+    held = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.posexplode(resolved).alias("ord", "link"))
+    return held.select("page_id", "base", "ord", "link.href", "link.url")
 
 
 def map_links(maps: DataFrame, map_col: str = "url_map") -> DataFrame:

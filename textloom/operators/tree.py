@@ -124,14 +124,14 @@ def url_maps(nodes: DataFrame, frame: int = 0) -> DataFrame:
     return own.groupBy("page_id").agg(entries("link").alias("url_map"), entries("image").alias("image_map"))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes below a root element, in their old order: roots (page_id, backend_id). A page whose root is missing keeps its whole tree."""
     from ..plans.session import checkpoint
 
     start = nodes.join(roots, ["page_id", "backend_id"], "left_semi").select("page_id", "node_id")
     reached = wave = checkpoint(start.distinct())
     children = nodes.select("page_id", "node_id", F.explode("child_ids").alias("child"))
-    for _ in range(max_depth):
+    while True:
         below = wave.join(children, ["page_id", "node_id"]).select("page_id", F.col("child").alias("node_id")).distinct()
         wave = checkpoint(below.join(reached, ["page_id", "node_id"], "left_anti"))
         if wave.isEmpty():

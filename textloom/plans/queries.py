@@ -200,16 +200,14 @@ def _chunks(spark, sf_dir, config):
     return chunking.chunk(_table(spark, sf_dir, "documents"), "doc_id", "text", config)
 
 
-@query(f"WITH {_char_cte(1500, 200, 'b < length(text)')} SELECT doc_id, cast(k AS int) AS chunk_index, cast(a AS int) AS start_pos, cast(b AS int) AS end_pos, substr(text, a + 1, b - a) AS text FROM c")
+@query(f"WITH {_char_cte(1500, 200, 'b < length(text)')} SELECT doc_id, cast(k AS int) AS chunk_index, cast(a AS int) AS start_pos, cast(b AS int) AS end_pos, substr(text, a + 1, b - a) AS text FROM c UNION ALL SELECT doc_id, 0, 0, cast(length(coalesce(text, '')) AS int), coalesce(text, '') FROM documents WHERE length(coalesce(text, '')) <= 1500")
 def chunk_char(spark, sf_dir):
-    long = _table(spark, sf_dir, "documents").filter(F.length("text") > 1500)
-    return chunking.chunk(long, "doc_id", "text", _SMALL).select("doc_id", "chunk_index", "start_pos", "end_pos", "text")
+    return _chunks(spark, sf_dir, _SMALL).select("doc_id", "chunk_index", "start_pos", "end_pos", "text")
 
 
-@query(f"WITH {_char_cte(1500, 20, 'true')} SELECT doc_id, cast(k AS int) AS chunk_index, cast(a AS int) AS start_pos, cast(b AS int) AS end_pos FROM c")
+@query(f"WITH {_char_cte(1500, 200, 'true')} SELECT doc_id, cast(k AS int) AS chunk_index, cast(a AS int) AS start_pos, cast(b AS int) AS end_pos FROM c UNION ALL SELECT doc_id, 0, 0, cast(length(coalesce(text, '')) AS int) FROM documents WHERE length(coalesce(text, '')) <= 1500")
 def chunk_char_legacy(spark, sf_dir):
-    long = _table(spark, sf_dir, "documents").filter(F.length("text") > 1500)
-    return chunking.chunk(long, "doc_id", "text", chunking.ChunkConfig(1500, 20, False, legacy_tail=True)).select("doc_id", "chunk_index", "start_pos", "end_pos")
+    return chunking.chunk(_table(spark, sf_dir, "documents"), "doc_id", "text", chunking.ChunkConfig(1500, 200, False, legacy_tail=True)).select("doc_id", "chunk_index", "start_pos", "end_pos")
 
 
 @query(f"WITH {_char_cte(1500, 200, 'b < length(text)')} SELECT doc_id, cast(k AS int) AS chunk_index, cast(a AS int) AS start_pos, cast(b AS int) AS end_pos FROM c UNION ALL SELECT doc_id, 0, 0, cast(length(coalesce(text, '')) AS int) FROM documents WHERE length(coalesce(text, '')) <= 1500")
@@ -263,7 +261,7 @@ UNION ALL SELECT conv_id, 0, 0, length(markdown)::INT, markdown, 'Conversation '
 
 @query(_HEADED)
 def chunk_heading(spark, sf_dir):
-    return chunking.chunk(_conversations_markdown(spark, sf_dir), "conv_id", "markdown", chunking.ChunkConfig(600, 80))
+    return chunking.chunk(_conversations_markdown(spark, sf_dir), "conv_id", "markdown", chunking.ChunkConfig(600, 80)).drop("total_chunks")
 
 
 @query("""WITH m AS (SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id),
@@ -319,25 +317,8 @@ def tree_skipped(spark, sf_dir):
     return tree.skipped(nodes).filter("skip").groupBy("page_id").agg(F.count("*").alias("n_skipped"))
 
 
-@query()
-def tree_html(spark, sf_dir):
-    return tree.trees(html_nodes.read_nodes(_table(spark, sf_dir, "pages")))
-
-
 def _snapshots(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
-    nodes = html_nodes.read_nodes(pages)
-    return manifest.snapshots(tree.trees(nodes), tree.url_maps(tree.explode_nodes(nodes)), pages, NOW)
-
-
-@query()
-def snapshots(spark, sf_dir):
-    return _snapshots(spark, sf_dir).select("page_id", "url", "title", "page_name", "node_count", "tree", F.size("url_map").alias("n_links"))
-
-
-@query()
-def md_convert(spark, sf_dir):
-    return convert.convert(_snapshots(spark, sf_dir)).select("page_id", "page_name", "markdown", "error")
+    return html_nodes.read_snapshots(_table(spark, sf_dir, "pages"), NOW)
 
 
 @query("""WITH b AS (SELECT page_id, '![a](http://x.example/media/i/' || page_id || '.png?w=1) ![b](i/' || page_id || '.png) ![c](none.png)' AS m FROM pages)
@@ -398,3 +379,6 @@ def image_skips(spark, sf_dir):
 @query(f"WITH {_FETCHED}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS n FROM f WHERE ok AND NOT (width < 150 AND height < 150)) SELECT page, url, 'images/' || page || '/img-' || lpad(n::VARCHAR, 3, '0') || ext AS local_path FROM k")
 def image_filter(spark, sf_dir):
     return image_operators.number_images(image_operators.filter_images(_fetched(spark, sf_dir))).select("page", "url", "local_path")
+
+
+from . import crawl_queries  # noqa: E402, F401  (registers its queries here)

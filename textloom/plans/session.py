@@ -23,9 +23,11 @@ def session(name: str = "textloom", cpus: int | str = "*") -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once into the cluster's shared checkpoint folder (a local one only where none is set)."""
+    """df, computed once into the cluster's shared checkpoint folder. Without spark.checkpoint.dir, only a local master gets a folder of this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
     return df.checkpoint(eager=True)

@@ -95,6 +95,23 @@ def manifest_json(start_url: str, match: list[str] | None, started: str, complet
     return held.select(F.to_json(body).alias("content"))
 
 
+def write_texts(files: DataFrame, folder: str) -> None:
+    """Texts (file, content) below a folder, one folder a file name; Spark's commit protocol makes the write atomic."""
+    files.select("file", F.col("content").alias("value")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(folder)
+
+
+def missing_input(spark: SparkSession, folder: str, converter: str | None = None) -> str | None:
+    """Why a folder can't be converted: no manifest, or no such converter; None if it can."""
+    from ..operators.convert import CONVERTERS
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/site.json")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return f"no site.json in {folder}: capture a site first"
+    if converter is not None and converter not in CONVERTERS:
+        return f"no converter {converter!r}: known are {', '.join(sorted(CONVERTERS))}"
+    return None
+
+
 class WaveStore:
     """Crawl state by wave: each save writes a new folder and only then moves the pointer, so a reader never sees half a save."""
 
@@ -119,6 +136,13 @@ class WaveStore:
         wave = self._pointer()
         return None if wave is None else self.spark.read.parquet(f"{self.folder}/wave-{wave}")
 
+    def delete(self) -> None:
+        """Remove the state, pointer first, so that a reader finds either all of it or none."""
+        jvm = self.spark.sparkContext._jvm
+        for name in ("pointer", ""):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def finished(self) -> bool:
         """Nothing queued or failed is left, so the state may be deleted."""
         state = self.load()

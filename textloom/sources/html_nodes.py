@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tree import NODES
+from ..functions import urls
+from ..operators.tree import NODES, flat_tree, line
 
 # Roles of HTML elements in the accessibility tree; elements without content; elements that never show.
 ROLES = {"a": "link", "article": "article", "aside": "complementary", "body": "generic", "button": "button", "div": "generic", "figure": "figure", "footer": "contentinfo", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "header": "banner", "img": "image", "li": "listitem", "main": "main", "nav": "navigation", "ol": "list", "p": "paragraph", "section": "region", "table": "table", "td": "cell", "th": "columnheader", "tr": "row", "ul": "list"}
@@ -92,3 +94,37 @@ def read_nodes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html_col).mapInArrow(parse, f"page_id {kind}, url string, nodes {NODES}")
+
+
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+_SNAPSHOT = "tree string, node_count int, url_map map<string,string>, image_map map<string,string>, title string"
+
+
+def snapshot_of(page: str | None, frame: int = 0) -> tuple[str, int, dict, dict, str]:
+    """Tree, node count, link and image maps (last URL of an element wins) and title of a page, from one reading."""
+    nodes = nodes_of(page)
+    shown = flat_tree(nodes, frame)
+    maps: tuple[dict, dict] = ({}, {})
+    for n in nodes:
+        url = next((p["value"] for p in n["properties"] if p["name"] == "url"), None)
+        if url:
+            maps[n["role"] in ("image", "img")][f"{frame}-{n['backend_id'] or 0}"] = url
+    title = _TITLE.search(page or "")
+    return "\n".join(line(*x) for x in shown), len(shown), *maps, title[1] if title else ""
+
+
+def read_snapshots(pages: DataFrame, now: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Snapshot rows (version 1) of HTML pages, as ``manifest.snapshots`` makes them of trees and maps, in one pass without a shuffle."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
+                made = list(zip(*(snapshot_of(h) for h in own.column(2).to_pylist()), strict=True))
+                text = pa.map_(pa.string(), pa.string())
+                kinds = (pa.string(), pa.int32(), text, text, pa.string())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array([list(x.items()) for x in c] if k == text else c, k) for c, k in zip(made, kinds, strict=True))], names=["page_id", "url", "tree", "node_count", "url_map", "image_map", "title"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    held = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html_col).mapInArrow(parse, f"page_id {kind}, url string, {_SNAPSHOT}")
+    return held.select("page_id", F.lit(1).alias("version"), "url", "title", "tree", "url_map", "image_map", "node_count", F.lit(now).cast("timestamp").alias("captured_at"), urls.page_name("url").alias("page_name"))
