@@ -150,11 +150,12 @@ def _jvm():
 def _valid(regex: str) -> bool:
     """Whether the JVM takes the expression; without a session Python's own opinion."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     jvm = _jvm()
     try:
         re.compile(regex) if jvm is None else jvm.java.util.regex.Pattern.compile(regex)
-    except (re.error, Py4JJavaError):
+    except (re.error, Py4JJavaError, PySparkException):
         return False
     return True
 
