@@ -19,6 +19,8 @@ ODD = [(None, "a b c d e f g"), (5, "A b c d e f g"), (5, "A b c d e f g"), (7,
 
 def _frame(spark, rows, extra=True):
     df = spark.createDataFrame([(*r, "p", -1, True) for r in rows], "doc_id long, text string, source string, n_chars long, kept boolean")
+    for name in ("node", "part", "features", "label", "rank", "vector", "rest", "dest", "row_key", "hash", "score", "id"):  # names that operators use inside
+        df = df.withColumn(name, F.col("source"))
     return df if extra else df.select("doc_id", "text")
 
 
@@ -358,6 +360,7 @@ def test_bpe_round_trip_is_exact(spark):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(99, None), (None, "x")]
     out = {r.doc_id: r for r in bpe.round_trip(_frame(spark, rows)).collect()}
     assert out[99].n_tokens == 0 and out[99].ids_sha256 == hashlib.sha256(b"").hexdigest() and out[None].n_tokens == 1
+    assert bpe.round_trip(_frame(spark, rows).limit(0)).count() == 0
     ids = bpe.encode_column(_frame(spark, rows[:3]))
     assert "decoded" in bpe.decode_column(ids).columns and bpe.decode_column(ids).count() == 3
 
@@ -488,6 +491,7 @@ def test_png_filters_checksums_and_features(spark):
     out = {r.doc_id: r for r in media.media_digests(_frame(spark, [(1, "abc"), (2, None), (3, ""), (4, "abc"), (5, "é" * 9000)])).collect()}
     assert out[1].payload_sha256 == hashlib.sha256(b"abc" + bytes(61)).hexdigest() and out[1].tail_crc32 == zlib.crc32(b"abc" + bytes(61))
     assert out[2].payload_bytes == 64 and tuple(out[2])[1:] == tuple(out[3])[1:] and tuple(out[1])[1:] == tuple(out[4])[1:] and out[5].n_bytes == 18000
+    assert media.media_digests(_frame(spark, [(1, "abc")]).limit(0)).count() == 0
     stored = media.media_column(_frame(spark, [(1, "abc"), (2, None)]))
     broken = stored.withColumn("media", F.when(F.col("doc_id") == 1, F.lit(b"junk")).otherwise(F.col("media")))
     assert [r.payload for r in media.decode_column(broken).orderBy("doc_id").collect()] == [None, bytearray(64)]
@@ -659,3 +663,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all("AKIA" not in (t or "") for t in after("secret_scan").values()) and "[SECRET]" in after("secret_scan")[101]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == set(after("secret_scan"))
+
+
+def test_pipeline_of_an_empty_table_and_odd_rows(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "w " * 30_000, None, "s", 60_000), (None, "x y", "en", "s", 3)])):
+        base = tmp_path / name
+        spark.createDataFrame(rows, columns).write.parquet(str(base / "documents.parquet"))
+        labels.write.parquet(str(base / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(base))
+        assert (out.count() > 0) == bool(rows)
+    shared = common.shared_folder(spark).removeprefix("file:")
+    assert all(len(os.listdir(f"{shared}/{d}")) == 1 for d in os.listdir(shared) if d.startswith("pipeline-"))  # only the last stage is left

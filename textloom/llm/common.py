@@ -122,6 +122,12 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder; survives lost executors."""
     sc = df.sparkSession.sparkContext

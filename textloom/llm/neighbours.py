@@ -32,7 +32,9 @@ from . import common
 
 NEAREST, DIMENSIONS, LEAF, CONFIDENCE = 20, 24, 32, 0.9
 #: Rows in a cell, queries in a block, cells of a tree at most, rows of the sample at most.
-CELL, QUERY_BLOCK, MOST_CELLS, SAMPLE = 8192, 4096, 4096, 65_536
+CELL, QUERY_BLOCK, MOST_CELLS, SAMPLE = 16_384, 4096, 4096, 65_536
+#: Projected neighbours after which the test is made anew.
+RINGS = (64, 256, 1024, 4096, 16_384)
 
 #: Squared distances below this share of the largest squared norm are rounding.
 NIL = 1e-10
@@ -136,49 +138,54 @@ class Index:
         self.high = np.array([points[x].max(axis=0) for x in leaves])
         self.order = np.concatenate(leaves)
         self.edges = np.r_[0, np.cumsum([len(x) for x in leaves])]
-        self.points, self.vectors = points[self.order], np.ascontiguousarray(vectors[first][self.order])
+        self.sizes = np.diff(self.edges)
+        self.points, self.vectors = np.ascontiguousarray(points[self.order]), np.ascontiguousarray(vectors[first][self.order])
+        self.norms = (self.points**2).sum(axis=1)
         self.k, self.dims, self.project = k, dims, projection(vectors.shape[1], dims)
         self.verified = 0
 
-    def search(self, query_id: int, query: np.ndarray, confidence: float = CONFIDENCE, bound: float = np.inf, step: int = 64) -> tuple[list[int], list[float]]:
+    def search(self, query_id: int, query: np.ndarray, confidence: float = CONFIDENCE, bound: float = np.inf) -> tuple[list[int], list[float]]:
         """The k nearest found, ties to the lesser id, without the query's own row. bound: squared distance of a k-th neighbour known already."""
         ratio, at = stops_at(confidence, self.dims), query @ self.project[:-1]
         near = (np.maximum(np.maximum(self.low - at, at - self.high), 0) ** 2).sum(axis=1)
-        leaves = np.argsort(near, kind="stable")
-        norm = self.top + query @ query
-        best = np.full(0, -np.inf)
-        nil = NIL * self.top
-        far = bound  # squared distance of the k-th neighbour so far
-        open_, gaps = np.zeros(0, np.int64), np.zeros(0)
+        norm, nil = self.top + query @ query, NIL * self.top
+        best, far = np.full(0, -np.inf), bound  # far: squared distance of the k-th neighbour so far
         seen, scores = [], []
-        done, width = 0, 8
-        while True:
-            # projected neighbours that no leaf ahead can come before
-            reach = near[leaves[done]] if done < len(leaves) else np.inf
-            ready = np.flatnonzero((gaps <= reach) & (gaps <= ratio * far + nil))
-            ready = ready[np.argsort(gaps[ready], kind="stable")]
-            for lo in range(0, len(ready), step):
-                own = ready[lo : lo + step]
-                if gaps[own[0]] > ratio * far + nil:
-                    break
-                own = own[gaps[own] <= ratio * far + nil]
-                found = self.vectors[open_[own]] @ query
-                self.verified += len(own)
-                seen.append(open_[own])
-                scores.append(found)
-                best = np.sort(np.concatenate([best, found]))[::-1][: self.k + 1]
-                if len(best) > self.k:
-                    far = min(far, max(norm - 2 * best[-1], 0.0))
-            if done == len(leaves) or reach > ratio * far + nil:
+
+        def verify(places: np.ndarray) -> None:
+            nonlocal best, far
+            found = self.vectors[places] @ query
+            self.verified += len(places)
+            seen.append(places)
+            scores.append(found)
+            best = np.concatenate([best, found])
+            if len(best) > self.k + 1:
+                best = np.partition(best, len(best) - self.k - 1)[-self.k - 1 :]
+            if len(best) > self.k:
+                far = min(far, max(norm - 2 * best.min(), 0.0))
+
+        open_ = np.ones(len(near), bool)
+        if far == np.inf:  # the nearest leaves give a first distance
+            leaves = np.argsort(near, kind="stable")
+            leaves = leaves[: np.searchsorted(np.cumsum(self.sizes[leaves]), 4 * self.k) + 1]
+            open_[leaves] = False
+            verify(np.flatnonzero(np.repeat(~open_, self.sizes)))
+        # projected neighbours in rings, nearest first, until none is left that the test leaves open
+        places = np.flatnonzero(np.repeat(open_ & (near <= ratio * far + nil), self.sizes))
+        gaps = (self.norms - 2 * (self.points @ at) + at @ at)[places]
+        inside = gaps <= ratio * far + nil
+        places, gaps = places[inside], gaps[inside]
+        rings = [r for r in RINGS if r < len(places)]
+        order = np.argpartition(gaps, rings) if rings else np.arange(len(places))
+        for lo, hi in zip([0, *rings], [*rings, len(places)]):
+            own = order[lo:hi][gaps[order[lo:hi]] <= ratio * far + nil]
+            if not len(own):
                 break
-            left = gaps > reach
-            places = np.concatenate([np.arange(self.edges[x], self.edges[x + 1]) for x in leaves[done : done + width]])
-            open_, gaps = np.r_[open_[left], places], np.r_[gaps[left], ((self.points[places] - at) ** 2).sum(axis=1)]
-            done, width = min(done + width, len(leaves)), width * 2
+            verify(places[own])
         if not seen:
             return [], []
         places, found = np.concatenate(seen), np.concatenate(scores)
-        held = np.flatnonzero(found >= (best[-1] - 1e-9 * abs(norm) if len(best) else 0))
+        held = np.flatnonzero(found >= best.min() - 1e-9 * abs(norm))
         pairs = sorted((-fsum((self.vectors[places[h]] * query).tolist()), i) for h in held for i in self.ids[self.order[places[h]]].tolist() if i != query_id)[: self.k]
         return [i for _, i in pairs], [-s for s, _ in pairs]
 
