@@ -9,7 +9,8 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor k
 4. secret_scan: values found to be secrets are replaced in the text, n_chars follows.
 5. packing: documents become token sequences of at most 4096; the result has one row per piece.
 
-All but the last return the columns of documents.
+All but the last return the columns of documents. Null and empty texts, null ids, repeated rows, very long texts, empty tables and tables without a source column pass
+through every stage; what the stage does with them its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -72,11 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written as Parquet to the shared folder and read again; a stage's files go once the next has read them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = posixpath.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = posixpath.join(base, f"{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            common.remove(spark, before)
+        before = path
     return docs
