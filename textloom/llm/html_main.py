@@ -321,7 +321,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     found = sorted(tuple(tuple(r[4 * n : 4 * n + 4]) for n in range(3)) for r in ordered.mapInArrow(_edges, _EDGES).collect())
     edges = pages.sparkSession.sparkContext.broadcast(tuple(zip(*found)) if found else ((("", "", 0, 0),),) * 3)
     keyed = pages.select(host.alias("host"), path.alias("path"), F.coalesce(page_id, F.lit(-(1 << 63))).alias("page_key"), F.xxhash64(url_col).alias("url_key"), page_id.alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    dealt = keyed.mapInArrow(_deal(edges), _DEALT).repartition(ranges, "dest").sortWithinPartitions("dest", *_KEY)
+    dealt = keyed.mapInArrow(_deal(edges), _DEALT).repartitionById(max(1, len(found)), F.col("dest").cast("int")).sortWithinPartitions("dest", *_KEY)
     return dealt.mapInArrow(_difference, _RESULT)
 
 
