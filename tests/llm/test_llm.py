@@ -464,6 +464,11 @@ def test_png_filters_checksums_and_features(spark):
         for own in (payload, noise, slope, bytes(64), b"some text, as it stands in a document. " * 64):
             assert media.decode_png(media.encode_png(own, row_filter=kind)).tobytes() == own
     assert len(set(media.filtered(np.frombuffer(payload + slope + noise, np.uint8).reshape(-1, 64))[:, 0].tolist())) > 2
+    for kinds in ((0, 1, 2), (0, 1, 2, 3, 4)):  # rows of all kinds, mixed
+        own = np.frombuffer(noise, np.uint8).reshape(-1, 64)
+        chosen = np.random.default_rng(6).choice(kinds, len(own))
+        mixed = np.stack([media.filtered(own, int(k))[r] for r, k in enumerate(chosen)])
+        assert media._unfilter(mixed).tobytes() == noise
     rows = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(int)
     lines = np.zeros((len(rows), 65), np.uint8)
     for y in range(len(rows)):  # the two filters that only the reader knows
