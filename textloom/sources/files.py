@@ -12,6 +12,13 @@ MANIFEST = "version int, startUrl string, match string, pageCount int, totalImag
 STATE = "version int, startUrl string, match string, discoveredUrls array<string>, completedUrls array<string>, failedUrls array<string>, excludedUrls array<string>, queue array<string>, redirects map<string,string>, startedAt string, updatedAt string, config string"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads; a pattern, whether anything fits it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(own)
+    return found is not None and len(found) > 0
+
+
 def clean_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Trimmed lines without blanks and # comments, as (ord, url); ord must be there or is taken from the reading order."""
     text = F.regexp_replace(F.regexp_replace(F.col(col), r"^[\s ﻿]+", ""), r"[\s ﻿]+$", "")
@@ -46,13 +53,9 @@ def _as_list(c):
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the present version; missing files, bad JSON and other versions give none."""
-    try:
-        raw = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
-        raw.schema
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema).withColumn("match", _as_list(F.col("match")))
-        raise
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).withColumn("match", _as_list(F.col("match")))
+    raw = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
     return raw.filter(F.col("version") == VERSION).withColumn("match", _as_list(F.col("match")))
 
 
@@ -104,8 +107,7 @@ def missing_input(spark: SparkSession, folder: str, converter: str | None = None
     """Why a folder can't be converted: no manifest, or no such converter; None if it can."""
     from ..operators.convert import CONVERTERS
 
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/site.json")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{folder.rstrip('/')}/site.json"):
         return f"no site.json in {folder}: capture a site first"
     if converter is not None and converter not in CONVERTERS:
         return f"no converter {converter!r}: known are {', '.join(sorted(CONVERTERS))}"
@@ -119,12 +121,9 @@ class WaveStore:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _pointer(self) -> int | None:
-        try:
-            return self.spark.read.schema("wave int").json(f"{self.folder}/pointer").agg(F.max("wave")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        if not exists(self.spark, f"{self.folder}/pointer"):
+            return None
+        return self.spark.read.schema("wave int").json(f"{self.folder}/pointer").agg(F.max("wave")).first()[0]
 
     def save(self, state: DataFrame) -> int:
         wave = (self._pointer() or 0) + 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, urls
 from ..operators.links import extract_links, html_links
+from ..sources.files import exists
 
 PAGES = "page_id long, url string, html string"
 
@@ -26,13 +27,9 @@ def run(spark: SparkSession, source: str, discovered: str, checkpoint: str, matc
 
     def take(batch: DataFrame, number: int) -> None:
         new = discover(batch, match, exclude, preserve_query)
-        try:
+        if exists(spark, discovered):
             old = spark.read.schema("url string, status string, batch long").parquet(discovered)
-            old = old.filter(F.col("batch") != number)
-            new = new.join(old, "url", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+            new = new.join(old.filter(F.col("batch") != number), "url", "left_anti")
         new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(discovered)
 
     stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).parquet(source)
