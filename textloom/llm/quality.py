@@ -147,7 +147,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(texts: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, np.ndarray]:
     """The frequent words of the only column of texts, and [word, dimension] of their context vectors at unit length; the last row is zero. A bounded size whatever the corpus."""
     counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    counts = common.checkpoint(counts)
+    # how many words have how many tokens tells from where on to look, so that no partition sends more than it must
+    size = F.floor(4 * F.log2("n")).alias("size")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(size).agg(F.count("*").alias("words")).collect(), reverse=True):
+        least, held = r["size"], held + r.words
+        if held >= frequent:
+            break
+    words = counts.filter(size >= least).orderBy(F.desc("n"), "word").limit(frequent).collect()
     vocabulary = Vocabulary(np.array([r.word for r in words], np.int64).view(np.uint64))
     context = np.zeros((len(words) + 1) * DIMENSIONS)
     if words:
