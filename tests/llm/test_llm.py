@@ -217,6 +217,37 @@ def test_lm_keeps_rare_ngrams_when_keys_outgrow_the_filter(spark):
     assert lm.width_for(10**9, 64) * 64 >= lm.BITS_A_KEY * 10**9 and lm.width_for(10, 64) * 64 >= lm.BITS
 
 
+def test_lm_sends_the_driver_no_model(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, collected, collect = [], [], DataFrame.collect
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value))
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *_: collected.append(self) or iter(()))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.extend(own := collect(self)) or own)
+    r = random.Random(35)
+    rows = [(i, " ".join(f"v{r.randint(0, 9000)}" for _ in range(50))) for i in range(200)]
+    scored = lm.score_documents(_frame(spark, rows), F.col("doc_id") % 5 == 1)
+    assert not sent and len(collected) <= 1
+    monkeypatch.undo()
+    assert scored.count() == len(rows)
+
+
+def test_lm_chunks_and_parts_do_not_change_scores(spark, monkeypatch):
+    r = random.Random(45)
+    rows = [(i, " ".join(f"c{min(r.randint(0, 60), r.randint(0, 60))}" for _ in range(r.randint(0, 80)))) for i in range(60)] + [(None, "c1 c2 c3"), (90, None), (91, "c4 c5"), (91, "c4 c5")]
+    held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
+    told = lambda found: sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens, x.n_known, round(x.base_score, 9), round(x.score, 2)) for x in found)
+    whole = told(lm.score_documents(_frame(spark, rows).coalesce(1), held).collect())
+    monkeypatch.setattr(common, "parts_for", lambda *_: 7)
+    assert told(lm.score_documents(_frame(spark, rows).repartition(9), held).collect()) == whole and len(whole) == len(rows)
+
+
+def test_packed_numbers_come_back():
+    for values in (np.zeros(0, np.uint64), np.zeros(5, np.uint64), np.array([0, 3, 255], np.uint64), np.array([256, 1 << 40, 0], np.uint64), common.mix(np.arange(99, dtype=np.uint64))):
+        assert (lm._opened(lm._pressed(values), len(values)) == values).all()
+
+
 def test_bloom_levels():
     parts, width = 4, 1 << 14
     h = common.mix(np.arange(1, 400, dtype=np.uint64))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +138,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what it no longer refers to, shuffle files above all; they stay until its next full collection otherwise."""
+    for _ in range(2):  # what the first round lets go of in Python, the second finds in the JVM
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: for files, their size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,17 +2,19 @@
 
 Tokens are the A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text and one end token. The model interpolates three orders with the weights WEIGHTS:
 ``w1 * p(word) + w2 * count(previous, word) / count(previous) + w3 * count(two before, word) / count(two before)``, where the tokens before a text's first are end
-tokens and p is the base probability. n-grams seen once are not in the filter and count as never seen for the second and third term; their share of the mass is given to no word, so
+tokens and p is the base probability. n-grams seen once are not in the filter and count as never seen; their share of the mass is given to no word, so
 probabilities add up to one at most. For p, a word that isn't in the filter counts as seen half a time.
 
-1. Counting. Map tasks count tokens, bigrams and trigrams of the training documents by chunk and deal packed (hash, count) arrays to
-   parts by hash. Each part then holds exact token counts, and counts of the longer n-grams by 40 hash bits and the part.
-2. Bloom filter. Of each n-gram seen at least LEAST times, at any size of input, the keys (n-gram, 1) to (n-gram, level) go into one
-   filter, level being the logarithm of the count to base sqrt 2. The filter grows with the keys and always has 8 bits a key or more. It
-   is made of one slice a part, so slices are built apart and just laid side by side, then broadcast: its size follows the input.
-3. Scoring. A token's level is found by probing (n-gram, 1), (n-gram, 2), ... until a key is absent.
-4. Base score. It needs exact counts of every token. Those of at most 131,072 frequent tokens are broadcast; all other tokens
-   travel, counted by document, to the part of their hash, and partial sums return packed. No token outside the frequent ones can fill a part.
+Nothing that grows with the input reaches the driver or is broadcast: the filter is never in one place, n-grams travel to its slices.
+
+1. Chunks. Map tasks pack texts into compressed chunks of about CHUNK_BYTES, kept in the shared checkpoint folder, so that a chunk is the same whenever it is read.
+2. Requests. Each chunk sends its distinct tokens, bigrams and trigrams, with how often its training documents hold them (0: only its other
+   documents do), packed, to parts by hash: tokens whole, the longer ones by 40 hash bits and the part.
+3. Bloom filter. A part adds up the counts. Of each n-gram seen at least LEAST times, at any size of input, the keys (n-gram, 1) to (n-gram, level) go into
+   the part's slices of the filter, one for each order, level being the logarithm of the count to base sqrt 2. A slice grows with its keys and always has 8 bits a key or more.
+4. Answers. For each chunk the part finds the levels by probing (n-gram, 1), (n-gram, 2), ... until a key is absent, in the order they were asked for. For the base score,
+   which needs exact counts of every token, those go along. Answers are checkpointed; the driver gets the two totals.
+5. Scoring. Chunks meet their answers; their n-grams, sorted as before, tell each token's levels. An n-gram is asked for once a chunk, so no frequent one fills a part.
 
 Null and empty texts hold the end token alone; very long texts are scored whole. Rows with a null doc_id are scored and train (their fold is -1). Repeated rows
 count as often as they come. With no training text every count is 0. Empty tables give no rows. Extra columns are ignored, whatever their names.
@@ -31,16 +33,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the filter at least (32 MB), probes a key, bits a key at least, tokens whose counts are broadcast at most.
-BITS, PROBES, BITS_A_KEY, FREQUENT = 1 << 28, 4, 8, 1 << 17
+#: Bits of the filter at least for each order (32 MB over all parts), probes a key, bits a key at least.
+BITS, PROBES, BITS_A_KEY = 1 << 28, 4, 8
+#: Tokens whose counts were once broadcast; nothing is any more.
+FREQUENT = 1 << 17
 #: Weights of one, two and three tokens.
 WEIGHTS = (0.6, 0.2, 0.2)
 #: Times an n-gram must be seen to be kept.
 LEAST = 2
-CHUNK_TOKENS = 2_000_000
+#: Text of a chunk.
+CHUNK_BYTES = 8 << 20
 _END = common.mix(np.array([0xE0D], np.uint64))[0]
 _LOW = np.uint64((1 << 40) - 1)
-_BUCKETS = 256  # quarter octaves
+_ZSTD, _ZSTD_TEXT = pa.Codec("zstd", 1), pa.Codec("zstd", 3)
+_STEP = 1 << 18  # keys set or probed at a time
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,132 +79,160 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def count_at(levels: np.ndarray) -> np.ndarray:
-    """Middle count of a level; 0 for level 0."""
-    return np.where(levels > 0, np.sqrt(2.0) ** (levels - 0.5), 0.0)
-
-
-_COUNTS = "part int, kind int, hashes binary, counts binary"
-
-
-def _small(values: np.ndarray) -> bytes:
-    """u8, u32 or u64, whichever fits all."""
-    top = values.max(initial=0)
-    return values.astype("<u1" if top < 256 else "<u4" if top < 1 << 32 else "<u8").tobytes()
-
+    """Mean of a level's whole counts; 0 for level 0."""
+    first, after = (np.ceil(2.0 ** ((levels + k) / 2) - 1e-9) for k in (-1, 0))
+    return np.where(levels > 0, (first + after - 1) / 2, 0.0)
 
-def _large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, {n: "<u1", 4 * n: "<u4", 8 * n: "<u8"}[len(data)]).astype(np.int64) if n else np.zeros(0, np.int64)
 
+def _pressed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, the low ones first, compressed; planes of zeros at the top are left out."""
+    top = int(values.max(initial=0))
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, : max(1, -(-top.bit_length() // 8))]
+    raw = planes.T.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
-def _pack(hashes: np.ndarray, width: int) -> bytes:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def _opened(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of _pressed, as u64."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        raw = np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), np.uint8)
+        out[:, : len(raw) // n] = raw.reshape(-1, n).T
     return out.view("<u8").ravel()
 
 
-def _count(parts: int):
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for kind in (0, 1, 2):
-            hashes, counts = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-            edges = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
-            own = [(p, a, b) for p, a, b in zip(range(parts), edges[:-1], edges[1:], strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array([_pack(hashes[a:b], 5 if kind else 8) for _, a, b in own], pa.binary()), pa.array([_small(counts[a:b]) for _, a, b in own], pa.binary())], names=["part", "kind", "hashes", "counts"])
+_CHUNKS = "chunk long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, size long, text binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in batches:
-            for _, _, data, offsets in common.slices(batch.column(0)):
-                toks, _ = tokens(data, offsets)
-                pairs = bigrams(toks)
-                held.append((toks, pairs, trigrams(toks, pairs)))
-                total += len(toks)
-                if total >= CHUNK_TOKENS:
-                    yield from flush(held)
-                    held, total = [], 0
-        if held:
-            yield from flush(held)
 
-    return run
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get()
+    serial = (task.partitionId() if task else 0) << 32
+    held, size = [], 0
 
+    def flush() -> pa.RecordBatch:
+        ids, folds, sizes, texts = zip(*held, strict=True)
+        held.clear()
+        text = np.concatenate(texts)
+        lists = [pa.array([pa.concat_arrays(x)], pa.list_(k)) for x, k in ((ids, pa.int64()), (folds, pa.bool_()), ([pa.array(x) for x in sizes], pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([serial], pa.int64()), *lists, pa.array([len(text)], pa.int64()), pa.array([_ZSTD_TEXT.compress(text, asbytes=True)], pa.binary())], names=["chunk", "doc_ids", "held_out", "sizes", "size", "text"])
 
-_MODEL = "part int, kind int, hashes binary, counts binary, total long, different long, histogram array<long>"
+    for batch in batches:
+        for lo, hi, data, offsets in common.slices(batch.column(2)):
+            held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), np.diff(offsets), data))
+            size += len(data)
+            if size >= CHUNK_BYTES:
+                yield flush()
+                size, serial = 0, serial + 1
+    if held:
+        yield flush()
 
 
-def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a part, summed. Longer n-grams seen once are left out."""
-    held: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            h = _unpack(r["hashes"], 5 if r["kind"] else 8)
-            held.setdefault((r["part"], r["kind"]), []).append((h, _large(r["counts"], len(h))))
-    for (part, kind), own in held.items():
-        h, c = (np.concatenate(x) for x in zip(*own, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        h, c = h[heads], np.add.reduceat(c, heads)
-        total, different = int(c.sum()), len(c)
-        if kind:
-            h, c = h[c > 1], c[c > 1]
-        histogram = np.bincount(_bucket(c), minlength=_BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([_pack(h, 8)], pa.binary()), pa.array([_small(c)], pa.binary()), pa.array([total], pa.int64()), pa.array([different], pa.int64()), pa.array([histogram.tolist()], pa.list_(pa.int64()))], names=["part", "kind", "hashes", "counts", "total", "different", "histogram"])
-
-
-def _bucket(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64), _BUCKETS - 1)
+def _ngrams(sizes: np.ndarray, size: int, text: bytes, parts: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Tokens of a chunk, its documents' offsets into them, and by order what n-grams are asked for by: tokens as they are, of longer ones the part and 40 bits."""
+    data = np.frombuffer(_ZSTD.decompress(text, size, asbytes=True), np.uint8)
+    toks, at = tokens(data, np.r_[0, np.cumsum(sizes)].astype(np.int64))
+    pairs = bigrams(toks)
+    return toks, at, [toks, *((part_of(h, parts).astype(np.uint64) << np.uint64(40)) | (h & _LOW) for h in (pairs, trigrams(toks, pairs)))]
 
 
-def positions(low: np.ndarray, part: np.ndarray, level: int | np.ndarray, probe: int, width: int) -> np.ndarray:
-    """Bit of a key in the filter."""
-    return part * width + (common.mix(low * np.uint64(0x2545F4914F6CDD1D) + np.uint64(probe * 977) + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)).astype(np.int64)
+def _edges(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
+    """Where each part's keys begin, of sorted ones."""
+    return np.searchsorted(keys >> np.uint64(40) if kind else part_of(keys, parts), np.arange(parts + 1))
 
 
-def _kind_salt(kind: int) -> np.uint64:
-    return np.uint64(kind << 41)
+_REQUESTS = "part int, chunk long, " + ", ".join(f"n{k} int, keys{k} binary, counts{k} binary" for k in range(3))
 
 
-def _slice(width: int):
+def _request(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                h = _unpack(r["hashes"], 8)
-                c = _large(r["counts"], len(h))
-                h, c = h[c >= LEAST] & _LOW, c[c >= LEAST]
-                bits = filters.setdefault(r["part"], np.zeros(width, bool))
-                levels = level_of(c)
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    own = h[levels >= level] + _kind_salt(r["kind"])
-                    for probe in range(PROBES):
-                        bits[positions(own, np.int64(0), level, probe, width)] = True
-        for part, bits in filters.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+            for row in range(batch.num_rows):
+                r = batch.slice(row, 1)
+                sizes = r.column("sizes").flatten().to_numpy()
+                _, at, keys = _ngrams(sizes, r.column("size")[0].as_py(), r.column("text")[0].as_py(), parts)
+                learnt = np.repeat(r.column("held_out").flatten().fill_null(True).to_numpy(zero_copy_only=False) == 0, np.diff(at))
+                asked = []
+                for kind, own in enumerate(keys):
+                    different = np.unique(own)
+                    seen, times = np.unique(own[learnt], return_counts=True)
+                    counts = np.zeros(len(different), np.int64)
+                    counts[np.searchsorted(different, seen)] = times
+                    asked.append((different, counts, _edges(different, kind, parts)))
+                del keys, learnt
+                rows = []
+                for p in range(parts):
+                    fields = []
+                    for kind, (different, counts, edges) in enumerate(asked):
+                        a, b = edges[p], edges[p + 1]
+                        own = different[a:b] & _LOW if kind else different[a:b]
+                        fields += [b - a, _pressed(np.diff(own, prepend=np.uint64(0))), _pressed(counts[a:b])]
+                    if any(fields[::3]):
+                        rows.append((p, r.column("chunk")[0].as_py(), *fields))
+                kinds = [pa.int32(), pa.int64()] + [pa.int32(), pa.binary(), pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _REQUESTS.split(", ")])
 
     return run
 
 
-def _frequent(least: int):
+_ANSWERS = "chunk long, part int, n0 int, n1 int, n2 int, levels0 binary, levels1 binary, levels2 binary, counts binary, total long, different long"
+
+
+def _answer(parts: int, bits: int):
+    """Sorted by part: counts added up, the part's slices of the filter built and probed, a row for each request."""
+
+    def answered(held: list[dict]) -> pa.RecordBatch:
+        levels, counts, total, different = [], [], 0, 0
+        for kind in range(3):
+            sizes = [r[f"n{kind}"] for r in held]
+            asked = np.concatenate([np.cumsum(_opened(r[f"keys{kind}"], n), dtype=np.uint64) for r, n in zip(held, sizes, strict=True)])
+            times = np.concatenate([_opened(r[f"counts{kind}"], n) for r, n in zip(held, sizes, strict=True)])
+            keys, back = np.unique(asked, return_inverse=True)
+            c = np.bincount(back, times, minlength=len(keys)).astype(np.int64)
+            del asked, times
+            if kind == 0:
+                total, different = int(c.sum()), int((c > 0).sum())
+            part = _slice(keys, c, kind, bits // parts)
+            own = np.zeros(len(keys), np.uint8)
+            for k in range(0, len(keys), _STEP):
+                own[k : k + _STEP] = part.levels(keys[k : k + _STEP], kind)
+            ends = np.cumsum(sizes)
+            levels.append([_pressed(own[back[b - n : b]]) for b, n in zip(ends, sizes, strict=True)])
+            if kind == 0:
+                counts = [_pressed(c[back[b - n : b]]) for b, n in zip(ends, sizes, strict=True)]
+        once = lambda x: pa.array([x] + [0] * (len(held) - 1), pa.int64())
+        asked = [pa.array([r[f"n{k}"] for r in held], pa.int32()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in held], pa.int64()), pa.array([r["part"] for r in held], pa.int32()), *asked, *(pa.array(x, pa.binary()) for x in (*levels, counts)), once(total), once(different)], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                h = _unpack(r["hashes"], 8)
-                c = _large(r["counts"], len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least].view(np.int64)), pa.array(c[c >= least])], names=["hash", "count"])
+                if held and held[0]["part"] != r["part"]:
+                    yield answered(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield answered(held)
 
     return run
 
 
+def positions(low: np.ndarray, part: np.ndarray, level: int | np.ndarray, probe: int, width: int) -> np.ndarray:
+    """Bit of a key in the filter."""
+    return part * width + (common.mix(low * np.uint64(0x2545F4914F6CDD1D) + np.uint64(probe * 977) + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)).astype(np.int64)
+
+
+def _kind_salt(kind: int) -> np.uint64:
+    return np.uint64(kind << 41)
+
+
 def width_for(keys: int, parts: int, bits: int = BITS) -> int:
     """Bits of a part's slice: the filter has bits at least, and BITS_A_KEY for each key, however many there are."""
     return max(8, -(-max(bits, BITS_A_KEY * keys) // parts // 8) * 8)
 
 
 class Model:
-    """What workers need: the filter, the frequent tokens' exact counts, and the totals."""
+    """A filter of parts slices of width bits each, with the totals; frequent: tokens with their exact counts."""
 
     def __init__(self, bits: bytes, parts: int, width: int, total: int, different: int, frequent: np.ndarray, counts: np.ndarray, weights: tuple = WEIGHTS):
         self.bits, self.parts, self.width, self.weights = bits, parts, width, weights
@@ -219,181 +253,84 @@ class Model:
             level += 1
         return out
 
-    def log10(self, toks: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        different, back = np.unique(toks, return_inverse=True)
-        single = np.maximum(count_at(self.levels(different, 0)), 0.5)[back]  # absent: seen once or never
-        pair_hashes = bigrams(toks)
-        pairs = count_at(self.levels(pair_hashes, 1))
-        triples = np.zeros(len(toks))
-        held = np.flatnonzero(pairs)  # an n-gram is never seen more often than its part
-        triples[held] = count_at(self.levels(trigrams(toks, pair_hashes)[held], 2))
-        end = count_at(self.levels(np.array([_END]), 0))
-        before = np.r_[end, single[:-1]][: len(toks)]
-        first = np.r_[True, toks[:-1] == _END][: len(toks)]
-        two_before = np.where(first, end, np.r_[0.0, pairs[:-1]][: len(toks)])
-        alone = (single + 0.5) / (self.total + 0.5 * (self.different + 1))
-        w = self.weights
-        return np.log10(w[0] * alone + w[1] * np.minimum(pairs / np.maximum(before, 1), 1) + w[2] * np.minimum(triples / np.maximum(two_before, 1), 1))
 
+def _slice(keys: np.ndarray, counts: np.ndarray, kind: int, least: int) -> Model:
+    """A part's slice of the filter for one order, of least bits or more."""
+    kept = counts >= LEAST
+    low, levels = (keys[kept] & _LOW) + _kind_salt(kind), level_of(counts[kept])
+    width = width_for(int(levels.sum()), 1, least)
+    bits = np.zeros(width, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        own = low[levels >= level]
+        for k in range(0, len(own), _STEP):
+            for probe in range(PROBES):
+                bits[positions(own[k : k + _STEP], np.int64(0), level, probe, width)] = True
+    return Model(np.packbits(bits).tobytes(), 1, width, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-_SCORED = "kind int, part int, doc_id long, held_out boolean, key long, n_tokens long, known long, base double, score double, keys binary, hashes binary, counts binary"
 
+def log10(toks: np.ndarray, levels: list[np.ndarray], end: int, total: int, different: int, weights: tuple) -> np.ndarray:
+    """log10 probability of each token after those before it; levels: of its n-grams by order; end: that of the end token."""
+    single, pairs, triples = (count_at(x) for x in levels)
+    single = np.maximum(single, 0.5)  # absent: seen once or never
+    triples[pairs == 0] = 0  # an n-gram is never seen more often than its part
+    end = count_at(np.array([end]))
+    before = np.r_[end, single[:-1]][: len(toks)]
+    first = np.r_[True, toks[:-1] == _END][: len(toks)]
+    two_before = np.where(first, end, np.r_[0.0, pairs[:-1]][: len(toks)])
+    alone = (single + 0.5) / (total + 0.5 * (different + 1))
+    share = lambda n, of: np.minimum(n / np.maximum(of, 1), 1)
+    return np.log10(weights[0] * alone + weights[1] * share(pairs, before) + weights[2] * share(triples, two_before))
 
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = model.value
-        task = TaskContext.get()
-        serial = (task.partitionId() if task else 0) << 32
-        names = [x.split()[0] for x in _SCORED.split(", ")]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
-        held: list[tuple] = []
-
-        def flush():
-            keys, hashes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            part = part_of(hashes, own.parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(own.parts + 1))
-            rows = [(1, p, None, None, None, None, None, None, None, keys[o].tobytes(), hashes[o].tobytes(), _small(counts[o])) for p in range(own.parts) if len(o := order[edges[p] : edges[p + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        waiting = 0
-        for batch in batches:
-            for lo, hi, data, offsets in common.slices(batch.column(2)):
-                toks, at = tokens(data, offsets)
-                n, docs = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
-                score = np.add.reduceat(own.log10(toks), at[:-1])
-                place = np.minimum(np.searchsorted(own.frequent, toks), max(len(own.frequent) - 1, 0))
-                hot = own.frequent[place] == toks if len(own.frequent) else np.zeros(len(toks), bool)
-                base = np.bincount(docs[hot], np.log10(own.counts[place[hot]] + 0.5), minlength=hi - lo) if hot.any() else np.zeros(hi - lo)
-                known = np.bincount(docs[hot], minlength=hi - lo)
-                rare, of = toks[~hot], docs[~hot]
-                order = np.lexsort((rare, of))
-                rare, of = rare[order], of[order]
-                heads = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])]) if len(rare) else np.zeros(0, np.int64)
-                if len(heads):
-                    held.append((serial + of[heads], rare[heads], np.diff(np.r_[heads, len(rare)])))
-                    waiting += len(heads)
-                m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int32)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(serial + np.arange(m)), pa.array(n), pa.array(known), pa.array(base), pa.array(score), *[pa.nulls(m, pa.binary())] * 3], names=names)
-                serial += m
-                if waiting >= CHUNK_TOKENS // 2:
-                    yield flush()
-                    waiting = 0
-        if held:
-            yield flush()
 
-    return run
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
 
+def _score(parts: int, total: int, different: int, weights: tuple):
+    """Sorted by chunk, its answers by part before its texts: scores and sums of log10(count + 0.5)."""
 
-def _look_up(dests: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by part, a part's counts before its requests: sums of log10(count + 0.5) by document, packed by where the documents go."""
-        part, hashes, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[tuple] = []
-
-        def flush():
-            keys, sums, known = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((keys, keys % dests))
-            keys, sums, known = keys[order], sums[order], known[order]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            keys, sums, known = keys[heads], np.add.reduceat(sums, heads), np.add.reduceat(known, heads)
-            edges = np.flatnonzero(np.r_[True, np.diff(keys % dests) != 0, True])
-            own = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([int(keys[a] % dests) for a, _ in own]), *(pa.array([x[a:b].tobytes() for a, b in own], pa.binary()) for x in (keys, sums, known))], names=["dest", "keys", "sums", "knowns"])
-
-        waiting = 0
+        held: list[dict] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["part"] != part:
-                    part, hashes, counts = r["part"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if r["kind"] == 0:
-                    hashes = _unpack(r["hashes"], 8)
-                    counts = _large(r["counts"], len(hashes))
+            kinds = batch.column("kind").to_pylist()
+            for row, kind in enumerate(kinds):
+                r = batch.slice(row, 1)
+                if kind == 0:
+                    held.append(r.select(["n0", "n1", "n2", "levels0", "levels1", "levels2", "counts"]).to_pylist()[0])
                     continue
-                keys, asked = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["hashes"], np.uint64)
-                times = _large(r["counts"], len(keys))
-                c = np.zeros(len(keys), np.int64)
-                if len(hashes):
-                    place = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
-                    c = np.where(hashes[place] == asked, counts[place], 0)
-                held.append((keys, times * np.log10(c + 0.5), times * (c > 0)))
-                waiting += len(keys)
-                if waiting >= CHUNK_TOKENS:
-                    yield flush()
-                    waiting = 0
-        if held:
-            yield flush()
+                toks, at, keys = _ngrams(r.column("sizes").flatten().to_numpy(), r.column("size")[0].as_py(), r.column("text")[0].as_py(), parts)
+                levels, exact, end = [], None, 0
+                for kind_, own in enumerate(keys):
+                    different_, back = np.unique(own, return_inverse=True)
+                    told = np.concatenate([_opened(x[f"levels{kind_}"], x[f"n{kind_}"]) for x in held]).astype(np.int64)
+                    levels.append(told[back])
+                    if kind_ == 0:
+                        exact = np.concatenate([_opened(x["counts"], x["n0"]) for x in held]).astype(np.int64)[back]
+                        end = told[np.searchsorted(different_, _END)]
+                held = []
+                score = np.add.reduceat(log10(toks, levels, end, total, different, weights), at[:-1])
+                base, known = np.add.reduceat(np.log10(exact + 0.5), at[:-1]), np.add.reduceat((exact > 0).astype(np.int64), at[:-1])
+                yield pa.RecordBatch.from_arrays([r.column("doc_ids").flatten(), r.column("held_out").flatten(), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)], names=[x.split()[0] for x in _RESULT.split(", ")])
 
     return run
 
 
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by dest, a dest's answers before its documents: base sums and known tokens complete."""
-    dest, answers, table = None, [], None
-    for batch in batches:
-        dests, kinds = batch.column("dest").to_numpy(), batch.column("kind").to_numpy()
-        edges = np.flatnonzero(np.r_[True, (np.diff(dests) != 0) | (np.diff(kinds) != 0), True]) if len(dests) else [0]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = batch.slice(lo, hi - lo)
-            if dests[lo] != dest:
-                dest, answers, table = dests[lo], [], None
-            if kinds[lo] == 0:
-                for k, v, n in zip(*(own.column(c).to_pylist() for c in ("keys", "sums", "knowns")), strict=True):
-                    answers.append((np.frombuffer(k, np.int64), np.frombuffer(v, np.float64), np.frombuffer(n, np.int64)))
-                continue
-            keys, base, known = own.column("key").to_numpy(), own.column("base").to_numpy().copy(), own.column("known").to_numpy().copy()
-            if answers and table is None:
-                k, v, n = (np.concatenate(x) for x in zip(*answers, strict=True))
-                different, back = np.unique(k, return_inverse=True)
-                table = (different, np.bincount(back, v), np.bincount(back, n).astype(np.int64))
-            if table is not None:
-                place = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-                hit = table[0][place] == keys
-                base[hit] += table[1][place[hit]]
-                known[hit] += table[2][place[hit]]
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), own.column("n_tokens"), pa.array(known), pa.array(base), own.column("score")], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-
-
 def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, frequent: int = FREQUENT, weights: tuple = WEIGHTS) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column; its rows do not train."""
-    spark = docs.sparkSession
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column; its rows do not train.
+    frequent has no effect any more: all exact counts are looked up at their part."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     parts = common.parts_for(docs, 16 << 20)
-    counted = texts.filter(~F.col("held_out")).select("text").mapInArrow(_count(parts), _COUNTS)
-    model = common.checkpoint(counted.repartition(parts, "part").mapInArrow(_sum_parts, _MODEL))
-    sums = {r.kind: r for r in model.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("different").alias("different")).collect()}
-    shape = {kind: np.zeros(_BUCKETS, np.int64) for kind in (0, 1, 2)}
-    for r in model.select("kind", F.posexplode("histogram").alias("bucket", "n")).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect():
-        shape[r.kind][r.bucket] = r.n
-    total, different = (sums[0].total, sums[0].different) if 0 in sums else (0, 0)
-
-    def least(weights: np.ndarray, most: int, first: int) -> int:
-        """The smallest bucket, from first, from which on the weights stay within most."""
-        return next((b for b in range(first, _BUCKETS) if weights[b:].sum() <= most), _BUCKETS)
-
-    at_least = lambda bucket: math.ceil(2 ** (bucket / 4) - 1e-9)
-    keys = (shape[0] + shape[1] + shape[2]) * (2 + np.arange(_BUCKETS) // 2)
-    width = width_for(int(keys[_bucket(np.array([LEAST]))[0] :].sum()), parts, bits)
-    filled = np.zeros(parts * width // 8, np.uint8)
-    for r in model.filter(F.col("part") >= 0).mapInArrow(_slice(width), "part int, bits binary").groupBy("part").agg(F.collect_list("bits").alias("bits")).toLocalIterator():
-        for b in r.bits:
-            filled[r.part * width // 8 : (r.part + 1) * width // 8] |= np.frombuffer(b, np.uint8)
-    hot_from = at_least(least(shape[0], frequent, 0))
-    hot = model.filter("kind = 0").mapInArrow(_frequent(hot_from), "hash long, count long").collect()
-    held = spark.sparkContext.broadcast(Model(filled.tobytes(), parts, width, total, different, np.array([r["hash"] for r in hot], np.int64).view(np.uint64), np.array([r["count"] for r in hot], np.int64), weights))
-    scored = common.checkpoint(texts.mapInArrow(_score(held), _SCORED))
-    asked = scored.filter("kind = 1").select("part", "kind", "keys", "hashes", "counts")
-    known = model.filter("kind = 0").select("part", "kind", F.lit(None).cast("binary").alias("keys"), "hashes", "counts")
-    answers = known.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_look_up(parts), "dest long, keys binary, sums binary, knowns binary")
-    rows = scored.filter("kind = 0").select(F.pmod("key", F.lit(parts)).alias("dest"), F.lit(1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "sums", "knowns")), "doc_id", "held_out", "key", "n_tokens", "known", "base", "score")
-    given = answers.select("dest", F.lit(0).alias("kind"), "keys", "sums", "knowns", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("doc_id", "held_out", "key", "n_tokens", "known", "base", "score")))
-    complete = given.unionByName(rows).repartition(parts, "dest").sortWithinPartitions("dest", "kind").mapInArrow(_gather, _RESULT)
+    chunks = common.checkpoint(texts.mapInArrow(_chunk, _CHUNKS))
+    asked = chunks.drop("doc_ids").mapInArrow(_request(parts), _REQUESTS)
+    answers = common.checkpoint(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(parts, bits), _ANSWERS))
+    del asked
+    common.release(docs.sparkSession)
+    sums = answers.agg(F.sum("total").alias("total"), F.sum("different").alias("different")).first()
+    total, different = sums.total or 0, sums.different or 0
+    given = answers.drop("total", "different").withColumn("kind", F.lit(0))
+    for c in chunks.columns[1:]:
+        given = given.withColumn(c, F.lit(None).cast(chunks.schema[c].dataType))
+    both = given.unionByName(chunks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    complete = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(_score(parts, total, different, weights), _RESULT)
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (different + 1)))
     return complete.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
