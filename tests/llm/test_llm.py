@@ -233,6 +233,15 @@ def test_lm_sends_the_driver_no_model(spark, monkeypatch):
     assert scored.count() == len(rows)
 
 
+def test_lm_counts_ngrams_seen_once(spark):
+    rows = [(0, "k1 k2 k3 k4 k5 k6 k7 k8"), (2, "k9 k10 k11"), (1, "k3 k4 k5"), (3, "k5 k3 k4"), (4, "k5 k4 k3")]
+    held = F.col("doc_id").isin(1, 3, 4)
+    got = {x.doc_id: x.score for x in lm.score_documents(_frame(spark, rows), held).collect()}
+    want = lm.brute_force_score([(i, t, i in (1, 3, 4)) for i, t in rows])
+    assert got[1] > got[3] > got[4]  # the same words: two bigrams and a trigram seen once, one bigram, none
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in got)
+
+
 def test_lm_chunks_and_parts_do_not_change_scores(spark, monkeypatch):
     r = random.Random(45)
     rows = [(i, " ".join(f"c{min(r.randint(0, 60), r.randint(0, 60))}" for _ in range(r.randint(0, 80)))) for i in range(60)] + [(None, "c1 c2 c3"), (90, None), (91, "c4 c5"), (91, "c4 c5")]

@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Tokens are the A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text and one end token. The model interpolates three orders with the weights WEIGHTS:
-``w1 * p(word) + w2 * count(previous, word) / count(previous) + w3 * count(two before, word) / count(two before)``, where the tokens before a text's first are end
-tokens and p is the base probability. n-grams seen once are not in the filter and count as never seen; their share of the mass is given to no word, so
+``w1 * p(word) + w2 * (count(previous, word) - d) / count(previous) + w3 * (count(two before, word) - d) / count(two before)``, where the tokens before a text's first are end
+tokens, p is the base probability and d is DISCOUNT. Every n-gram counts, those seen once too; the mass of the discounts is given to no word, so
 probabilities add up to one at most. For p, a word that isn't in the filter counts as seen half a time.
 
 Nothing that grows with the input reaches the driver or is broadcast: the filter is never in one place, n-grams travel to its slices.
@@ -10,7 +10,7 @@ Nothing that grows with the input reaches the driver or is broadcast: the filter
 1. Chunks. Map tasks pack texts into compressed chunks of about CHUNK_BYTES, kept in the shared checkpoint folder, so that a chunk is the same whenever it is read.
 2. Requests. Each chunk sends its distinct tokens, bigrams and trigrams, with how often its training documents hold them (0: only its other
    documents do), packed, to parts by hash: tokens whole, the longer ones by 40 hash bits and the part.
-3. Bloom filter. A part adds up the counts. Of each n-gram seen at least LEAST times, at any size of input, the keys (n-gram, 1) to (n-gram, level) go into
+3. Bloom filter. A part adds up the counts. Of each n-gram seen, at any size of input, the keys (n-gram, 1) to (n-gram, level) go into
    the part's slices of the filter, one for each order, level being the logarithm of the count to base sqrt 2. A slice grows with its keys and always has 8 bits a key or more.
 4. Answers. For each chunk the part finds the levels by probing (n-gram, 1), (n-gram, 2), ... until a key is absent, in the order they were asked for. For the base score,
    which needs exact counts of every token, those go along. Answers are checkpointed; the driver gets the two totals.
@@ -37,10 +37,10 @@ from . import common
 BITS, PROBES, BITS_A_KEY = 1 << 28, 4, 8
 #: Tokens whose counts were once broadcast; nothing is any more.
 FREQUENT = 1 << 17
-#: Weights of one, two and three tokens.
-WEIGHTS = (0.6, 0.2, 0.2)
-#: Times an n-gram must be seen to be kept.
-LEAST = 2
+#: Weights of one, two and three tokens; what is taken off the count of two and of three.
+WEIGHTS, DISCOUNT = (0.6, 0.2, 0.2), 0.9
+#: Times an n-gram must be seen to be kept: all are.
+LEAST = 1
 #: Text of a chunk.
 CHUNK_BYTES = 8 << 20
 _END = common.mix(np.array([0xE0D], np.uint64))[0]
@@ -271,14 +271,14 @@ def _slice(keys: np.ndarray, counts: np.ndarray, kind: int, least: int) -> Model
 def log10(toks: np.ndarray, levels: list[np.ndarray], end: int, total: int, different: int, weights: tuple) -> np.ndarray:
     """log10 probability of each token after those before it; levels: of its n-grams by order; end: that of the end token."""
     single, pairs, triples = (count_at(x) for x in levels)
-    single = np.maximum(single, 0.5)  # absent: seen once or never
+    single = np.maximum(single, 0.5)  # never seen
     triples[pairs == 0] = 0  # an n-gram is never seen more often than its part
     end = count_at(np.array([end]))
     before = np.r_[end, single[:-1]][: len(toks)]
     first = np.r_[True, toks[:-1] == _END][: len(toks)]
     two_before = np.where(first, end, np.r_[0.0, pairs[:-1]][: len(toks)])
     alone = (single + 0.5) / (total + 0.5 * (different + 1))
-    share = lambda n, of: np.minimum(n / np.maximum(of, 1), 1)
+    share = lambda n, of: np.minimum(np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1), 1)
     return np.log10(weights[0] * alone + weights[1] * share(pairs, before) + weights[2] * share(triples, two_before))
 
 
@@ -364,7 +364,7 @@ def brute_force_score(rows: list[tuple[int, str | None, bool]], weights: tuple =
     def p(ws, k):
         two = seen((None,)) if ws[k - 1] is None else seen((ws[k - 2], ws[k - 1]))
         out = weights[0] * (max(seen((ws[k],)), 0.5) + 0.5) / (total + 0.5 * (different + 1))
-        out += weights[1] * min(seen((ws[k - 1], ws[k])) / max(seen((ws[k - 1],)), 0.5, 1), 1)
-        return out + weights[2] * min(seen(tuple(ws[k - 2 : k + 1])) / max(two, 1), 1)
+        out += weights[1] * min(max(seen((ws[k - 1], ws[k])) - DISCOUNT, 0) / max(seen((ws[k - 1],)), 1), 1)
+        return out + weights[2] * min(max(seen(tuple(ws[k - 2 : k + 1])) - DISCOUNT, 0) / max(two, 1), 1)
 
     return {i: sum(math.log10(p(ws, k)) for k in range(2, len(ws))) for i, ws, _ in split}
