@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -114,6 +115,19 @@ def starts_of(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return firsts[:-1][docs] + within, docs
 
 
+def frugal(run):
+    """run for mapInArrow, after which its worker gives memory that it no longer uses back to the system: workers stay, idle, while other tasks need it."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return own
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Without spark.checkpoint.dir, only a local master gets a folder of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -130,12 +144,13 @@ def remove(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; survives lost executors."""
+def checkpoint(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder; survives lost executors. tasks: how many compute and write it at most.
+    A local file costs its executor two processes (Hadoop calls chmod for it and for its checksum), so small tables shouldn't be many files."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(tasks) if tasks else df).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -165,6 +180,11 @@ def pieces_for(df: DataFrame, bytes_each: int) -> int:
     return max(1, -(-size // bytes_each)) if size < 1 << 60 else parts_for(df)
 
 
+def tasks_for(df: DataFrame, bytes_each: int) -> int:
+    """How many tasks keep each near bytes_each of input and all cores busy; for coalesce, which makes no more of them than there are."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, pieces_for(df, bytes_each))
+
+
 def text_parts(df: DataFrame, text_col: str, chars_each: int) -> int:
     """How many parts keep each near chars_each characters of text, counted, so that compression doesn't matter; never fewer than the session's."""
     chars = df.agg(F.sum(F.length(F.col(text_col)).cast("long"))).first()[0] or 0

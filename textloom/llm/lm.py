@@ -7,7 +7,7 @@ probabilities add up to one at most. For p, a word that isn't in the filter coun
 
 Nothing that grows with the input reaches the driver or is broadcast: the filter is never in one place, n-grams travel to its slices.
 
-1. Chunks. Map tasks pack texts into compressed chunks of about CHUNK_BYTES, kept in the shared checkpoint folder, so that a chunk is the same whenever it is read.
+1. Chunks. Map tasks, small partitions together in one, pack texts into compressed chunks of about CHUNK_BYTES, kept in the shared checkpoint folder, so that a chunk is the same whenever it is read.
 2. Requests. Each chunk sends its distinct tokens, bigrams and trigrams, with how often its training documents hold them (0: only its other
    documents do), packed, to parts by hash: tokens whole, the longer ones by 40 hash bits and the part.
 3. Bloom filter. A part adds up the counts. Of each n-gram seen, at any size of input, the keys (n-gram, 1) to (n-gram, level) go into
@@ -318,10 +318,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column; its rows do not train.
     frequent has no effect any more: all exact counts are looked up at their part."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    parts = common.parts_for(docs, 16 << 20)
-    chunks = common.checkpoint(texts.mapInArrow(_chunk, _CHUNKS))
-    asked = chunks.drop("doc_ids").mapInArrow(_request(parts), _REQUESTS)
-    answers = common.checkpoint(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(parts, bits), _ANSWERS))
+    parts, tasks = common.parts_for(docs, 16 << 20), common.tasks_for(docs, 16 << 20)
+    chunks = common.checkpoint(texts.coalesce(tasks).mapInArrow(common.frugal(_chunk), _CHUNKS))
+    asked = chunks.drop("doc_ids").mapInArrow(common.frugal(_request(parts)), _REQUESTS)
+    answers = common.checkpoint(asked.repartition(parts, "part").sortWithinPartitions("part").coalesce(tasks).mapInArrow(common.frugal(_answer(parts, bits)), _ANSWERS))
     del asked
     common.release(docs.sparkSession)
     sums = answers.agg(F.sum("total").alias("total"), F.sum("different").alias("different")).first()
@@ -330,7 +330,8 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     for c in chunks.columns[1:]:
         given = given.withColumn(c, F.lit(None).cast(chunks.schema[c].dataType))
     both = given.unionByName(chunks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    complete = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(_score(parts, total, different, weights), _RESULT)
+    scored = common.frugal(_score(parts, total, different, weights))
+    complete = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part").coalesce(tasks).mapInArrow(scored, _RESULT)
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (different + 1)))
     return complete.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
