@@ -441,6 +441,36 @@ def test_cut_places_follow_content():
     assert set(a[a > 32].tolist()) <= later and len(a) > 5 and len(bpe.cuts(text[:10])) == 0
 
 
+def test_words_are_looked_up_once_and_learnt_without_places(monkeypatch):
+    looks = []
+
+    class Table(dict):
+        def get(self, k, d=None):
+            looks.append(k)
+            return dict.get(self, k, d)
+
+        def __getitem__(self, k):
+            looks.append(k)
+            return dict.__getitem__(self, k)
+
+        def __contains__(self, k):
+            looks.append(k)
+            return dict.__contains__(self, k)
+
+    coder = bpe.WordEncoder(bpe.default_path())
+    asked, model = [], coder.model
+    coder.words, coder.model = Table(), type("Model", (), {"__getattr__": lambda _, name: asked.append(name) or getattr(model, name)})()
+    r = random.Random(71)
+    texts = [" ".join(f"Wörd{r.randint(0, 30)}, it's" for _ in range(400)).encode(), b"", b" \n", "x <|endoftext|> 日本 x".encode()]
+    want = [np.array(coder.full.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.encode_all(texts) == want
+    looks.clear()
+    assert coder.encode_all(texts) == want and len(looks) == sum(len(t.split()) for t in texts)
+    assert asked and set(asked) == {"encode_batch_fast"}
+    monkeypatch.setattr(bpe, "WORDS", 20)  # the table is emptied on the way
+    assert [coder.encode_all([t])[0] for t in [*texts, b"one two three", *texts]] == [*want, coder.encode_all([b"one two three"])[0], *want]
+
+
 def test_packing_is_complete_and_tight(spark):
     rows = [(i, "alpha beta " * (1 + i * 37 % 900)) for i in range(60)] + [(100, "word " * 9000), (101, None), (102, ""), (7, "again")]
     out = packing.pack(_frame(spark, rows), block=40).collect()

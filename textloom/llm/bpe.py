@@ -21,7 +21,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +68,14 @@ class WordEncoder:
         self.last = np.array([bool(ends) and n.endswith(ends.encode()) for n in self.names])
         spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.model = Tokenizer.from_str(json.dumps(spec))
+        if resize := getattr(self.model.model, "_resize_cache", None):
+            resize(0)  # a piece is encoded once here, so the model's own table never helps
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"\n": _MARK}
 
     def _learn_pieces(self, new: list[str]) -> None:
-        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        (found,) = self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)  # without the places in the text
+        ids = np.array(found.ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("the vocabulary has no word ends")
@@ -104,17 +108,20 @@ class WordEncoder:
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text. Words are what ASCII white space separates."""
-        split = [t.split() for t in texts]
+        found: list[tuple[list[bytes], list, list[int]]] = []
         new: set[bytes] = set()
-        for ws in split:
-            new.update(filterfalse(self.words.__contains__, ws))
+        for t in texts:  # one look into the table a word: with so many words it is the looks that take time
+            ws = t.split()
+            own = list(map(self.words.get, ws))
+            lacking = list(compress(range(len(ws)), map(is_, own, repeat(None))))
+            new.update(map(ws.__getitem__, lacking))
+            found.append((ws, own, lacking))
         if new:
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-                new = {w for ws in split for w in ws}
             self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            for ws, own, lacking in found:
+                for k in lacking:
+                    own[k] = self.words[ws[k]]
+        return [b"".join(own) for _, own, _ in found]
 
     def decode(self, ids: bytes) -> bytes:
         """The decoder of a vocabulary without one: tokens' names joined by a space."""
