@@ -259,6 +259,33 @@ def _checkpointed(spark):
     return sum(f.startswith("part-") for _, _, names in os.walk(top.removeprefix("file:")) for f in names) if top else 0
 
 
+def test_near_dedup_writes_few_files_for_small_tables(spark, tmp_path):
+    r = random.Random(47)
+    rows = [(i, " ".join(f"c{r.randint(0, 9000)}" for _ in range(60))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(20)] + [(200 + i, rows[i][1] + " more yet") for i in range(20)]
+    _frame(spark, rows, extra=False).repartition(40).write.parquet(str(tmp_path / "documents.parquet"))
+    small = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        had = _checkpointed(spark)
+        got = [(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(common.documents(spark, str(tmp_path))).collect()]
+        assert 0 < _checkpointed(spark) - had <= 20 * 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(near_dedup.brute_force(rows))
+
+
+def test_workers_empty_their_tables_when_another_step_begins():
+    coder = bpe.encoder(bpe.default_path())
+    list(common.frugal(iter, tables=True)([]))
+    assert bpe.encoder(bpe.default_path()) is coder
+    list(common.frugal(iter)([]))
+    assert bpe.encoder(bpe.default_path()) is not coder
+
+
 def test_lm_writes_few_files_for_small_tables(spark, tmp_path):
     r = random.Random(46)
     rows = [(i, " ".join(f"c{r.randint(0, 60)}" for _ in range(40))) for i in range(120)]

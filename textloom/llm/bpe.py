@@ -206,6 +206,9 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+common.TABLES += [encoder.cache_clear, chunk_encoder.cache_clear]
+
+
 def text_groups(texts: pa.Array, limit: int = common.SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """First row and the texts of runs of about limit bytes; null as empty."""
     for lo, hi, data, offsets in common.slices(texts, limit):

@@ -7,7 +7,7 @@ import gc
 import os
 import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,15 +115,29 @@ def starts_of(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return firsts[:-1][docs] + within, docs
 
 
-def frugal(run):
-    """run for mapInArrow, after which its worker gives memory that it no longer uses back to the system: workers stay, idle, while other tasks need it."""
+#: What a worker keeps from task to task, as functions that empty it.
+TABLES: list[Callable[[], None]] = []
+
+
+def _trim() -> None:
+    """Give memory that is no longer used back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run, tables: bool = False):
+    """run for mapInArrow; its worker gives memory that it no longer uses back after it: workers stay, idle, while other tasks need it. tables: run
+    uses what workers keep; other tasks, which come when another step has begun, empty it first."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables and TABLES:
+            for empty in TABLES:
+                empty()
+            _trim()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        _trim()
 
     return own
 

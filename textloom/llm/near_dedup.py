@@ -40,6 +40,8 @@ MISSED = 4e-5
 SKETCH_BITS = 1024
 #: Nodes of an open bucket in a block.
 BLOCK = 512
+#: Edges that a task writes when components are formed.
+EDGES = 250_000
 
 
 def smallest(percent: int) -> int:
@@ -155,8 +157,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "hashes"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the component's least node. Large-star and small-star by turns."""
+def components(edges: DataFrame, rounds: int = 60, tasks: int | None = None) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the component's least node. Large-star and small-star by turns. tasks: how many write the edges at most."""
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -175,10 +177,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def digest(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = common.checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = common.checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tasks)
     before = digest(now)
     for _ in range(rounds):
-        now = common.checkpoint(star(star(now, False), True))
+        now = common.checkpoint(star(star(now, False), True), 1 + before[0] // EDGES)
         after = digest(now)
         if after == before:
             break
@@ -208,13 +210,13 @@ def row_key(id_col: str, text_col: str):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, row_key. Sets of shingles link from a similarity of percent hundredths."""
-    parts = common.parts_for(docs)
+    parts, tasks, few = common.parts_for(docs), common.tasks_for(docs, 16 << 20), common.tasks_for(docs, 64 << 20)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    signed = common.checkpoint(texts.mapInArrow(_signed(percent), _SIGNED))
-    nodes = common.checkpoint(signed.filter(f"n >= {smallest(percent)}").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    signed = common.checkpoint(texts.coalesce(few).mapInArrow(common.frugal(_signed(percent)), _SIGNED))
+    nodes = common.checkpoint(signed.filter(f"n >= {smallest(percent)}").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), few)
     buckets = nodes.select("node", F.explode("bands").alias("bucket")).repartition(parts, "bucket")
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("held")).filter("held > 1").select("bucket", "centre")
-    members = common.checkpoint(buckets.join(centres, "bucket"))
+    members = common.checkpoint(buckets.join(centres, "bucket"), few)
     about = nodes.select("node", "n", "sketch")
 
     def seen(df: DataFrame, side: str) -> DataFrame:
@@ -224,17 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
     may_link = _may_match(F.col("na"), F.col("nb"), percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(may_link).select("a", "b"))
+    stars = common.checkpoint(seen(seen(stars, "a"), "b").filter(may_link).select("a", "b"), few)
     held = members.select("node").distinct()
     wanted = texts.repartition(parts, "row_key").join(nodes.join(held, "node", "left_semi").select("node", "row_key"), "row_key")
-    sets = wanted.select("node", "text").mapInArrow(_sets, "node long, hashes array<long>")
-    sets = common.checkpoint(sets.repartition(parts, "node").groupBy("node").agg(F.any_value("hashes").alias("hashes")))  # repeated rows share their key
-    links = common.checkpoint(_confirmed(stars, sets, percent))
-    roots = components(links)
+    sets = wanted.select("node", "text").mapInArrow(common.frugal(_sets), "node long, hashes array<long>")
+    sets = common.checkpoint(sets.repartition(parts, "node").groupBy("node").agg(F.any_value("hashes").alias("hashes")), tasks)  # repeated rows share their key
+    links = common.checkpoint(_confirmed(stars, sets, percent), tasks)
+    roots = components(links, tasks=few)
     told = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    open_ = common.checkpoint(told.join(mixed, "bucket").join(about, "node").withColumn("own", own))
+    open_ = common.checkpoint(told.join(mixed, "bucket").join(about, "node").withColumn("own", own), few)
     at = lambda lo, hi: F.explode(F.sequence(lo, hi))
     left = open_.select("bucket", F.col("own").alias("lo"), at(F.col("own"), F.col("blocks") - 1).alias("hi"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = open_.select(F.col("bucket").alias("bucket_"), at(F.lit(0), F.col("own")).alias("lo_"), F.col("own").alias("hi_"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -242,13 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb")) & may_link
     pairs = left.join(right, met & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = common.checkpoint(_confirmed(pairs, sets, percent))
-    roots = components(links.union(more))
+    more = common.checkpoint(_confirmed(pairs, sets, percent), tasks)
+    roots = components(links.union(more), tasks=few)
     named = roots.join(nodes.select("node", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     by_node = named.join(least, "root").select("node", "component")
     copies = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    final = common.checkpoint(copies.join(by_node, "node", "left").select("node", F.coalesce("component", "least").alias("component")))
+    final = common.checkpoint(copies.join(by_node, "node", "left").select("node", F.coalesce("component", "least").alias("component")), few)
     out = signed.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(final, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "row_key")

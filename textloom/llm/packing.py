@@ -305,7 +305,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = path or bpe.default_path()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = common.checkpoint(texts.coalesce(common.tasks_for(docs, 16 << 20)).mapInArrow(common.frugal(_pieces(path, capacity)), _PIECES))
+    pieces = common.checkpoint(texts.coalesce(common.tasks_for(docs, 16 << 20)).mapInArrow(common.frugal(_pieces(path, capacity), tables=True), _PIECES))
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("block", F.monotonically_increasing_id() % blocks) if blocks > 1 else pieces.withColumn("block", F.lit(0).cast("long"))
     return dealt.repartition(blocks, "block").mapInArrow(_pack_blocks(capacity, steps), _PACKED)

@@ -146,8 +146,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(texts: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, np.ndarray]:
     """The frequent words of the only column of texts, and [word, dimension] of their context vectors at unit length; the last row is zero. A bounded size whatever the corpus."""
-    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = common.checkpoint(counts)
+    counts = texts.mapInArrow(common.frugal(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.checkpoint(counts, common.tasks_for(texts, 16 << 20))
     # how many words have how many tokens tells from where on to look, so that no partition sends more than it must
     size = F.floor(4 * F.log2("n")).alias("size")
     least, held = 0, 0
@@ -160,7 +160,7 @@ def word_vectors(texts: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary
     context = np.zeros((len(words) + 1) * DIMENSIONS)
     if words:
         held = texts.sparkSession.sparkContext.broadcast(vocabulary)
-        parts = texts.mapInArrow(_context(held), "range int, sums binary").repartition(-(-len(words) // _RANGE), "range").mapInArrow(_add, "range int, sums binary")
+        parts = texts.mapInArrow(common.frugal(_context(held)), "range int, sums binary").repartition(-(-len(words) // _RANGE), "range").mapInArrow(_add, "range int, sums binary")
         for r in parts.collect():
             own = np.frombuffer(r["sums"], "<f8")
             context[r["range"] * _RANGE * DIMENSIONS :][: len(own)] += own
@@ -250,7 +250,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None, id_col: s
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"))
     vectors = spark.sparkContext.broadcast(word_vectors(texts.select("text")))
-    pooled = common.checkpoint(texts.mapInArrow(_pool(vectors), "doc_id long, row_key long, features binary"))
+    pooled = common.checkpoint(texts.coalesce(common.tasks_for(docs, 16 << 20)).mapInArrow(common.frugal(_pool(vectors)), "doc_id long, row_key long, features binary"))
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).filter("doc_id is not null")
     known = known.filter(~held_out) if held_out is not None else known
     fine = 1_000_000
