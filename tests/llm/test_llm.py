@@ -393,6 +393,21 @@ def test_components_of_a_chain(spark):
     assert {(x.node, x.root) for x in near_dedup.components(edges).collect()} == {(k, 1) for k in range(1, 31)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_few_edges_cost_the_driver_few_jobs(spark):
+    r = random.Random(48)
+    links = [(r.randint(-(10**12), 10**12), -5) for _ in range(40)] + [(k, k + 1) for k in r.sample(range(200), 120)] + [(k, r.choice([k, 3000 + k % 7])) for k in range(1000, 1080)]
+    edges, tracker = spark.createDataFrame(links, "a long, b long"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "of few edges")
+    try:
+        once = near_dedup.components(edges).collect()
+        assert len(tracker.getJobIdsForGroup("components")) <= 15
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    by_turns = near_dedup.components(edges, at_once=0).collect()
+    assert len(once) == len(set(once)) and set(once) == set(by_turns)
+    assert near_dedup.components(edges.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- secrets
 
 

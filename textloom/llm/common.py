@@ -119,7 +119,7 @@ def starts_of(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 TABLES: list[Callable[[], None]] = []
 
 
-def _trim() -> None:
+def give_back() -> None:
     """Give memory that is no longer used back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -135,9 +135,9 @@ def frugal(run, tables: bool = False):
         if not tables and TABLES:
             for empty in TABLES:
                 empty()
-            _trim()
+            give_back()
         yield from run(batches)
-        _trim()
+        give_back()
 
     return own
 

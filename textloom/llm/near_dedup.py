@@ -40,7 +40,7 @@ MISSED = 4e-5
 SKETCH_BITS = 1024
 #: Nodes of an open bucket in a block.
 BLOCK = 512
-#: Edges that a task writes when components are formed.
+#: Edges that a task writes when components are formed; so many at most are closed by one task.
 EDGES = 250_000
 
 
@@ -157,8 +157,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "hashes"])
 
 
-def components(edges: DataFrame, rounds: int = 60, tasks: int | None = None) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the component's least node. Large-star and small-star by turns. tasks: how many write the edges at most."""
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b): the greater root of an edge goes under the lesser one until no edge has two."""
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while (open_ := root[x] != root[y]).any():
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while ((top := root[root]) != root).any():
+            root = top
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, tasks: int | None = None, at_once: int = EDGES) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the component's least node. Up to at_once different edges are closed by one task, so that a small table
+    costs the driver few jobs and plans; of more, large-star and small-star by turns. tasks: how many write the edges at most."""
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -179,6 +197,8 @@ def components(edges: DataFrame, rounds: int = 60, tasks: int | None = None) ->
 
     now = common.checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tasks)
     before = digest(now)
+    if before[0] <= at_once:
+        return common.checkpoint(now.coalesce(1).mapInArrow(common.frugal(_closed), "node long, root long"))
     for _ in range(rounds):
         now = common.checkpoint(star(star(now, False), True), 1 + before[0] // EDGES)
         after = digest(now)
@@ -232,6 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = wanted.select("node", "text").mapInArrow(common.frugal(_sets), "node long, hashes array<long>")
     sets = common.checkpoint(sets.repartition(parts, "node").groupBy("node").agg(F.any_value("hashes").alias("hashes")), tasks)  # repeated rows share their key
     links = common.checkpoint(_confirmed(stars, sets, percent), tasks)
+    common.release(docs.sparkSession)
     roots = components(links, tasks=few)
     told = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")

@@ -259,4 +259,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out=None, id_col: s
     taught.sort(key=lambda r: r.doc_id)
     x = np.frombuffer(b"".join(bytes(r.features) for r in taught), np.float32).reshape(len(taught), DIMENSIONS).astype(float)
     network = spark.sparkContext.broadcast(Network(x, np.array([float(r.label) for r in taught])))
+    del taught, x
+    common.give_back()
     return pooled.mapInArrow(_apply(network), "doc_id long, row_key long, score double")
